@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from granary.llm import license_scan, quality_pu, topk_search
+from granary.llm import html_extract, license_scan, line_templates, lsa_decontaminate, packing, quality_pu, topk_search
 
 QUERIES = {
+    "op3_line_templates": line_templates.query,
     "op4_license_scan": license_scan.query,
+    "op5_lsa_decontaminate": lsa_decontaminate.query,
     "op6_quality_pu": quality_pu.query,
     "op7_topk_search": topk_search.query,
+    "op9_html_extract": html_extract.query,
+    "op10_best_fit_packing": packing.query,
 }
 ORACLES = {
     "op7_topk_search": topk_search.ORACLE,
