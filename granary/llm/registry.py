@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from granary.llm import html_extract, license_scan, line_templates, lsa_decontaminate, packing, quality_pu, topk_search
+from granary.llm import html_extract, license_scan, line_templates, lm_score, lsa_decontaminate, packing, quality_pu, suffix_dedup, topk_search
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
+    "op2_lm_score": lm_score.query,
     "op3_line_templates": line_templates.query,
     "op4_license_scan": license_scan.query,
     "op5_lsa_decontaminate": lsa_decontaminate.query,
@@ -14,5 +16,7 @@ QUERIES = {
     "op10_best_fit_packing": packing.query,
 }
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_lm_score": lm_score.ORACLE,
     "op7_topk_search": topk_search.ORACLE,
 }
