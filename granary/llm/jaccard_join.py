@@ -5,19 +5,19 @@ Universe-partition pigeonhole: two sets of a size band whose similarity is at le
 least m - H are equal in both. A set is compared in the space of its own size band and,
 as the smaller one, in the next; each space has its own H and m.
 
-Allocation by cost: tokens found in many documents (a fixed-size count table over
-all documents says which) share segment 0, where they are only of use together; rare
-tokens are spread over the other segments by hash, so that an equal segment tells much.
-A segment that is empty in both sets tells nothing, hence the m - H - 1 spare segments.
-A set with more empty segments than spare ones is indexed by further partitions of the
+Allocation by cost: an equal segment of a token or none tells little, as many sets have
+it, so only segments of two tokens or more are indexed, and m is the least number for
+which a set can be expected to have over H of those. Tokens found in very many documents
+(a fixed-size count table over all documents says which) share segment 0; the others are
+spread by hash. Where segments would hold too few tokens or m can't be found, half as
+many segments are indexed with their one-deletion neighbourhoods, as one of them differs
+in at most one token; `allocation` weighs both by signatures and chance meetings.
+A set that has too few segments to be sure is indexed by further partitions of the
 universe too (all tokens spread alike). A pair could only be missed where *both* are
-short of segments, and then both are in the next partition; sets short of segments in
-all partitions index their empty segments as well. So no pair is lost. The same
-pigeonhole serves one-deletion neighbourhoods of half as many segments of twice the
-tokens; `allocation` weighs the two by signatures to send, given the tokens a segment
-would hold, and chooses per space.
+short, and then both are in the next partition; sets that are short in all partitions
+index segments of one token and none as well. So no pair is lost.
 
-Documents that share a signature go to the partition of the lesser id together with the
+The list of documents that share a signature goes to the partition of its least id, together with their
 texts, where similarities are computed from whole sets.
 
 Defined results: rows (doc_id_a, doc_id_b, jaccard) with a < b. Documents with equal
@@ -67,42 +67,54 @@ def token_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spaces:
-    """Size bands and, for each, the greatest difference H and the segments to use."""
+    """Size bands and, for each, the segments to use and how to index them."""
 
     def __init__(self, threshold: float, most: int = 1 << 34):
-        self.high = [1]
-        while self.high[-1] < most:
-            self.high.append(max(self.high[-1] + 1, int(self.high[-1] / threshold + 1e-9)))
-        high = np.array(self.high)
-        self.differ = np.floor(2 * (1 - threshold) / (1 + threshold) * high + 1e-9).astype(np.int64)
-        plans = [allocation(int(h), int(d)) for h, d in zip(high, self.differ, strict=True)]
-        self.segments, self.spare, self.deletions = (np.array(x) for x in zip(*plans, strict=True))
-        self.high = high
+        high = [1]
+        while high[-1] < most:
+            high.append(max(high[-1] + 1, int(high[-1] / threshold + 1e-9)))
+        self.threshold, self.high = threshold, np.array(high)
+        self.differ = (1 - threshold) / (1 + threshold)  # of the two sizes added up
+        self.segments, self.deletions = (np.array(x) for x in zip(*(allocation(h, self.differ, threshold) for h in high), strict=True))
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, size)
 
+    def needed(self, size: np.ndarray, space: np.ndarray, up: int) -> np.ndarray:
+        """Segments of use that a set must have to be sure to meet all its partners in the space."""
+        other = np.minimum(self.high[space], np.floor(size / self.threshold + 1e-9)) if up else size
+        differ = np.floor(self.differ * (size + other) + 1e-9).astype(np.int64)
+        return np.where(self.deletions[space], differ // 2, differ) + 1
 
-def allocation(high: int, differ: int, share: float = 0.05, others: float = 1000.0) -> tuple[int, int, bool]:
-    """(segments, spare ones, whether one-deletion neighbourhoods are indexed) at least cost.
+
+def allocation(high: int, differ: float, threshold: float, share: float = 0.02, others: float = 1e4) -> tuple[int, bool]:
+    """(segments, whether one-deletion neighbourhoods are indexed) at least cost.
 
     The cost of a signature is itself and the sets it meets by chance: of `others`, those
     that have all its tokens, each with the chance `share`.
     """
 
-    def plan(need: int, dropped: int) -> tuple[float, int, int]:
-        spare = int(np.ceil(0.22 * (need - 1)))
-        m = need + spare
-        each = high / m
-        return m * (1 + each * dropped) * (1 + others * share ** max(each - dropped, 0)), m, spare
+    def plan(deleted: int) -> tuple[float, int]:
+        need = int(2 * differ * high + 1e-9) // (1 + deleted) + 1
+        best = (np.inf, -np.inf, need)
+        for m in sorted({need, *np.linspace(need, 4 * need + 4, 60).astype(int).tolist()}):
+            slack = np.inf
+            for x in (threshold, (1 + threshold) / 2, 1.0):
+                mean, least = x * high / m, int(2 * differ * x * high + 1e-9) // (1 + deleted) + 1
+                few = float(np.exp(-mean) * sum(mean**k / (1, 1, 2)[k] for k in range(2 + deleted))) if m > 1 else float(x * high < 2 + deleted)
+                slack = min(slack, m * (1 - few) - 1.5 * np.sqrt(m * few * (1 - few)) - least)
+            mean = max(high / m - deleted, 0.1)
+            chance = np.exp(-mean) * (mean * share) ** 2 / 2 if m > 1 else share ** mean
+            cost = m * (1 + deleted * high / m) * (1 + others * chance) * (1 if slack >= 0 else 4)
+            best = min(best, (cost, -slack, m)) if slack >= 0 or best[0] == np.inf or -best[1] < 0 else best
+        return best[0], best[2]
 
-    exact = plan(differ + 1, 0)
-    halved = plan(differ // 2 + 1, 1)  # of so many segments one differs in at most one token
-    return (*halved[1:], True) if halved[0] < exact[0] else (*exact[1:], False)
+    exact, halved = plan(0), plan(1)
+    return (halved[1], True) if halved[0] < exact[0] else (exact[1], False)
 
 
-def _sums(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(K.mix(v * K._A + K._B), starts) if len(starts) else np.zeros(0, np.uint64)
+def _salt(space: np.ndarray, seed: int, seg: np.ndarray) -> np.ndarray:
+    return K.mix(K.mix((space.astype(np.uint64) << np.uint64(8)) + np.uint64(seed)) + seg.astype(np.uint64) * K._B)
 
 
 def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,51 +122,53 @@ def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray)
     size = np.diff(at)
     some = np.flatnonzero(size)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rare = ~heavy[(v >> np.uint64(64 - SLOTS)).astype(np.int64)]
+    light = ~heavy[(v >> np.uint64(64 - SLOTS)).astype(np.int64)]
     band = spaces.band(size)
     for up in (0, 1):
         left = some
         for seed in range(SEEDS):
             if not len(left):
                 break
-            x = np.concatenate([v[at[i] : at[i + 1]] for i in left]) if seed or len(left) < len(some) else v
+            last = seed == SEEDS - 1
+            x = np.concatenate([v[at[i] : at[i + 1]] for i in left]) if len(left) < len(some) else v
             of = np.repeat(np.arange(len(left)), size[left])
             space = band[left] + up
             m = spaces.segments[space].astype(np.uint64)
-            y = K.mix(x ^ np.uint64(0x51ED270B + seed)) if seed else x
-            place = y >> np.uint64(32)
             if seed:
-                seg = (place * m[of]) >> np.uint64(32)
-                order = np.lexsort((y, seg, of))
+                y = K.mix(x ^ np.uint64(0x51ED270B + seed))
+                seg = ((y >> np.uint64(32)) * m[of]) >> np.uint64(32)
+                order = np.lexsort((seg, of))
             else:
-                seg = np.where(rare, np.uint64(1) + ((place * (m - np.uint64(1))[of]) >> np.uint64(32)), np.uint64(0))
+                seg = np.where(light, np.uint64(1) + (((x >> np.uint64(32)) * (m - np.uint64(1))[of]) >> np.uint64(32)), np.uint64(0))
                 seg = np.minimum(seg, (m - np.uint64(1))[of])
-                order = np.argsort(of * np.int64(1 << 1) + rare, kind="stable")  # v is sorted within a set
+                order = np.argsort(of * 2 + light, kind="stable")  # a set's tokens are sorted, and so are their segments
             x, seg, of = x[order], seg[order], of[order]
             starts = np.flatnonzero(np.append(True, (seg[1:] != seg[:-1]) | (of[1:] != of[:-1])))
-            owner, which = of[starts], seg[starts]
-            total = _sums(x, starts)
-            salt = K.mix((space[owner].astype(np.uint64) << np.uint64(8)) + np.uint64(seed)) + which * K._B
-            found.append((K.mix(total + K.mix(salt)), left[owner], np.full(len(starts), 1 - up)))
-            with_deletions = spaces.deletions[space]
-            if with_deletions.any():  # each segment without each of its tokens
-                token = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
-                mine = with_deletions[of]
-                t = token[mine]
-                found.append((K.mix(total[t] - K.mix(x[mine] * K._A + K._B) + K.mix(salt[t])), left[of[mine]], np.full(int(mine.sum()), 1 - up)))
             tokens = np.diff(np.append(starts, len(x)))
-            filled = np.bincount(owner[(tokens > 1) | ~with_deletions[owner]], minlength=len(left))  # a lone token less is nothing
-            short = np.flatnonzero(m.astype(np.int64) - filled > spaces.spare[space])
-            if seed == SEEDS - 1 and len(short):  # the last resort: empty segments count too
-                gaps = np.ones((len(short), int(m[short].max())), bool)
-                gaps &= np.arange(gaps.shape[1]) < m[short, None].astype(np.int64)
-                row = np.full(len(left), -1)
-                row[short] = np.arange(len(short))
-                hit = row[owner] >= 0
-                gaps[row[owner[hit]], which[hit].astype(np.int64)] = False
+            owner, which = of[starts], seg[starts]
+            each = K.mix(x * K._A + K._B)
+            total, salt = np.add.reduceat(each, starts), _salt(space[owner], seed, which)
+            deleted = spaces.deletions[space]
+            useful = np.bincount(owner[tokens >= 2 + deleted[owner]], minlength=len(left))
+            short = useful < spaces.needed(size[left], space, up)
+            all_of = short & last  # the last resort
+            keep = (tokens >= 2) | all_of[owner]
+            found.append((K.mix(total[keep] + salt[keep]), left[owner[keep]], np.full(int(keep.sum()), 1 - up)))
+            vary = deleted[owner] & ((tokens >= 3) | all_of[owner])
+            if vary.any():  # each such segment without each of its tokens
+                t = np.repeat(np.arange(len(starts)), tokens)
+                mine = vary[t]
+                t = t[mine]
+                found.append((K.mix(total[t] - each[mine] + salt[t]), left[owner[t]], np.full(len(t), 1 - up)))
+            if all_of.any():
+                row = np.flatnonzero(all_of)
+                gaps = np.arange(int(m[row].max())) < m[row, None].astype(np.int64)
+                back = np.full(len(left), -1)
+                back[row] = np.arange(len(row))
+                hit = back[owner] >= 0
+                gaps[back[owner[hit]], which[hit].astype(np.int64)] = False
                 s, k = np.nonzero(gaps)
-                salt = K.mix((space[short[s]].astype(np.uint64) << np.uint64(8)) + np.uint64(seed)) + k.astype(np.uint64) * K._B
-                found.append((K.mix(K.mix(salt)), left[short[s]], np.full(len(s), 1 - up)))
+                found.append((K.mix(_salt(space[row[s]], seed, k)), left[row[s]], np.full(len(s), 1 - up)))
             left = left[short]
     if not found:
         z = np.zeros(0, np.int64)
@@ -188,7 +202,7 @@ def heavy_slots(base: DataFrame, n: int, least: int) -> np.ndarray:
     out = np.zeros((pieces, (1 << SLOTS) // pieces), np.int64)
     for r in by_part(base.mapInArrow(run, kinds), pieces).mapInArrow(add, kinds).collect():  # 8 MB at most, whatever the data
         out[r["part"]] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int64)
-    return out.reshape(-1) >= max(least, 4 * out.mean())
+    return out.reshape(-1) >= max(least, 8 * out.mean())
 
 
 def _groups(key: np.ndarray, doc: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +231,7 @@ def _distinct_lists(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return size[keep], doc[np.repeat(keep, size)]
 
 
-def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: int = 64) -> DataFrame:
+def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: int = 64) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard) of all pairs that reach the threshold."""
     spark, base = docs.sparkSession, texts(docs)
     parts = partitions(spark)
@@ -274,13 +288,10 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
             doc[order] = np.repeat(doc[order][r[:-1]], np.diff(r))
         size, doc = _distinct_lists(*_groups(sig, doc, larger))
         if len(size):
-            own = np.repeat(np.arange(len(size)), size)
-            part = (K.mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            last = np.zeros(len(doc), bool)
-            last[np.cumsum(size) - 1] = True
-            to = np.unique(part[~last] * len(size) + own[~last])  # whoever has a greater partner verifies
-            q, k = to // len(size), to % len(size)
             begin = np.cumsum(size) - size
+            to = (K.mix(doc[begin].view(np.uint64)) % np.uint64(parts)).astype(np.int64)  # most lists of a group of copies start alike
+            k = np.argsort(to, kind="stable")
+            q = to[k]
             r = K.runs(q)
             for i, j in zip(r[:-1], r[1:], strict=True):
                 l = k[i:j]
@@ -318,14 +329,14 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
     def verify(batches):
         ids, sets, blobs = [], [], []
         for b in batches:
-            blobs += [(q, x) for q, x in zip(b.column("part").to_pylist(), b.column("payload").to_pylist(), strict=True) if x is not None]
+            blobs += [x for x in b.column("payload").to_pylist() if x is not None]
             b = b.filter(pc.is_valid(b.column("doc_id")))
             for part in K.batches_by_bytes([b], "text"):
                 v, at = token_sets(part.column("text"), n)
                 ids += part.column("doc_id").to_pylist()
                 sets += [v[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        for q, blob in blobs:
-            for a, z, s in verified(ids, sets, *_unpack_lists(blob), threshold, q, parts):
+        for blob in blobs:
+            for a, z, s in verified(ids, sets, *_unpack_lists(blob), threshold):
                 yield batch_of(out, a, z, s)
 
     def stars(batches):
@@ -335,7 +346,8 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
                 yield batch_of(out, np.full(len(x) - 1, x[0]), x[1:], np.ones(len(x) - 1))
 
     pairs = "doc_id_a long, doc_id_b long, jaccard double"
-    return by_part(work, parts).mapInArrow(verify, pairs).unionByName(merged.where("part < 0").mapInArrow(stars, pairs))
+    found = by_part(work, parts).mapInArrow(verify, pairs).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    return found.unionByName(merged.where("part < 0").mapInArrow(stars, pairs))
 
 
 def _pack_lists(size: np.ndarray, doc: np.ndarray) -> bytes:
@@ -348,8 +360,8 @@ def _unpack_lists(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unsqueeze(raw[8 : 8 + 8 * n], np.int64), unsqueeze(raw[8 + 8 * n :], np.int64)
 
 
-def verified(ids: list[int], sets: list[np.ndarray], size: np.ndarray, doc: np.ndarray, threshold: float, own_part: int, parts: int):
-    """(a, b, similarity) arrays of the candidates that reach the threshold, by lesser id of this partition."""
+def verified(ids: list[int], sets: list[np.ndarray], size: np.ndarray, doc: np.ndarray, threshold: float):
+    """(a, b, similarity) arrays of the candidates that reach the threshold."""
     ids = np.array(ids, np.int64)
     order = np.argsort(ids, kind="stable")
     ids, sets = ids[order], [sets[i] for i in order]
@@ -359,12 +371,11 @@ def verified(ids: list[int], sets: list[np.ndarray], size: np.ndarray, doc: np.n
     universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.append(0, np.cumsum(length))
     mark = np.zeros(len(universe), bool)
-    part = (K.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     begin = np.append(0, np.cumsum(size))
     of = np.repeat(np.arange(len(size)), size)
     by_doc = np.argsort(doc, kind="stable")
     lists_of, sorted_doc = of[by_doc], doc[by_doc]
-    for a in ids[np.append(True, ids[1:] != ids[:-1]) & (part == own_part)].tolist():
+    for a in np.unique(doc).tolist():
         mine = lists_of[np.searchsorted(sorted_doc, a) : np.searchsorted(sorted_doc, a, "right")]
         others = np.unique(np.concatenate([doc[begin[l] : begin[l + 1]] for l in mine]))
         others = others[others > a]
@@ -432,5 +443,5 @@ i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM t AS a JOIN t A
 SELECT rep AS doc_id_a, doc_id AS doc_id_b, 1.0::DOUBLE AS jaccard FROM r WHERE rep <> doc_id
 UNION ALL
 SELECT a, b, round(same / (x.n + y.n - same)::DOUBLE, 6) FROM i JOIN r AS x ON x.doc_id = a JOIN r AS y ON y.doc_id = b
-WHERE same / (x.n + y.n - same)::DOUBLE >= 0.75 - 1e-12
+WHERE same / (x.n + y.n - same)::DOUBLE >= 0.8 - 1e-12
 """
