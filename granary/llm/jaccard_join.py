@@ -302,41 +302,85 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
             yield batch_of(lists, p, [None] * len(p), payload)
 
     def merge(batches):
-        size, doc, q = [], [], None
+        size, doc = [], []
         for b in batches:
             for p, payload in zip(b.column("part").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 if p < 0:
                     yield batch_of(lists, [-1], [None], [payload])
                 else:
-                    q = p
                     s, d = _unpack_lists(payload)
                     size.append(s)
                     doc.append(d)
-        if q is not None:
+        if size:
             size, doc = _distinct_lists(np.append(0, np.cumsum(np.concatenate(size))), np.concatenate(doc))
-            need = np.unique(doc)
-            yield batch_of(lists, np.full(len(need) + 1, q), pa.array([None, *need.tolist()], pa.int64()), [_pack_lists(size, doc)] + [None] * len(need))
+            begin = np.cumsum(size) - size
+            order = np.argsort(doc[begin], kind="stable")
+            r = K.runs(doc[begin][order])
+            rows = []
+            for i, j in zip(r[:-1], r[1:], strict=True):  # the lists with one least id
+                l = order[i:j]
+                items = np.repeat(begin[l] - (np.cumsum(size[l]) - size[l]), size[l]) + np.arange(int(size[l].sum()))
+                rows.append((int(doc[begin[l[0]]]), _pack_lists(size[l], doc[items])))
+            least = np.repeat(doc[begin], size)
+            order = np.lexsort((least, doc))
+            seen, first = np.unique(doc[order], return_index=True)
+            yield batch_of(lists, np.zeros(len(rows), int), *zip(*rows, strict=True))
+            yield batch_of(lists, np.ones(len(seen), int), seen, [x.tobytes() for x in least[order][first]])
 
     kinds = "part int, doc_id long, payload binary"
     met = by_part(base.mapInArrow(sign, "part int, payload binary, ids binary"), parts).mapInArrow(meet, kinds)
     merged = table(met.repartitionById(parts, F.pmod("part", F.lit(parts))).mapInArrow(merge, kinds), "jaccard-lists")
 
+    # a list goes where the least id goes that its own least id has met: the lists of a group of copies mostly agree on it
+    def label(batches):
+        for b in batches:
+            seen = np.frombuffer(b"".join(b.column("payload").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(seen)], names=["doc_id", "label"])
+
+    labels = merged.where("part = 1").select("doc_id", "payload").mapInArrow(label, "doc_id long, label long").groupBy("doc_id").agg(F.min("label").alias("label"))
+    keyed = merged.where("part = 0").select("doc_id", "payload").join(labels, "doc_id")
+    work = table(keyed.select(F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int").alias("part"), "payload"), "jaccard-work")
+    want = pa.schema([("part", pa.int32()), ("doc_id", pa.int64())])
+
+    def members(batches):
+        for b in batches:
+            for p, payload in zip(b.column("part").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                doc = np.unique(_unpack_lists(payload)[1])
+                yield batch_of(want, np.full(len(doc), p), doc)
+
+    needs = table(work.mapInArrow(members, "part int, doc_id long").distinct(), "jaccard-needs")
+    wanted = _membership(needs, needs.count())
+    text = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary())])
+
+    def pick(batches):
+        bits = np.unpackbits(wanted.value).astype(bool)
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(bits[_slot(ids, len(bits))]))
+            if b.num_rows:
+                yield batch_of(text, b.column("doc_id"), [zstandard.compress(x.encode(), 1) for x in b.column("text").to_pylist()])
+
     out = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("jaccard", pa.float64())])
-    needs = merged.where("part >= 0 and doc_id is not null").select("part", "doc_id")
-    fetched = base.join(needs, "doc_id").select("part", "doc_id", F.lit(None).cast("binary").alias("payload"), "text")
-    work = merged.where("part >= 0 and doc_id is null").withColumn("text", F.lit(None).cast("string")).unionByName(fetched)
+    fetched = base.mapInArrow(pick, "doc_id long, payload binary").join(needs, "doc_id").select("part", "doc_id", "payload")
+    work = work.select("part", F.lit(None).cast("long").alias("doc_id"), "payload").unionByName(fetched)
 
     def verify(batches):
-        ids, sets, blobs = [], [], []
+        ids, sets, size, doc = [], [], [], []
         for b in batches:
-            blobs += [x for x in b.column("payload").to_pylist() if x is not None]
-            b = b.filter(pc.is_valid(b.column("doc_id")))
-            for part in K.batches_by_bytes([b], "text"):
-                v, at = token_sets(part.column("text"), n)
-                ids += part.column("doc_id").to_pylist()
-                sets += [v[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        for blob in blobs:
-            for a, z, s in verified(ids, sets, *_unpack_lists(blob), threshold):
+            own = pc.is_null(b.column("doc_id"))
+            for blob in b.filter(own).column("payload").to_pylist():
+                s, d = _unpack_lists(blob)
+                size.append(s)
+                doc.append(d)
+            b = b.filter(pc.invert(own))
+            if b.num_rows:
+                read = pa.array([zstandard.decompress(x).decode() for x in b.column("payload").to_pylist()], pa.large_string())
+                for part in K.batches_by_bytes([pa.RecordBatch.from_arrays([b.column("doc_id"), read], names=["doc_id", "text"])], "text"):
+                    v, at = token_sets(part.column("text"), n)
+                    ids += part.column("doc_id").to_pylist()
+                    sets += [v[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+        if size:
+            for a, z, s in verified(ids, sets, np.concatenate(size), np.concatenate(doc), threshold):
                 yield batch_of(out, a, z, s)
 
     def stars(batches):
@@ -350,6 +394,26 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
     return found.unionByName(merged.where("part < 0").mapInArrow(stars, pairs))
 
 
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (K.mix(ids.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _membership(needs: DataFrame, count: int, most: int = 27):
+    """A bit set, of 16 MB at most, that holds all ids in `needs`; others that it lets pass cost a look, never a result."""
+    bits = 1 << min(most, max(16, int(count * 16).bit_length()))
+
+    def run(batches):
+        mine = np.zeros(bits, bool)
+        for b in batches:
+            mine[_slot(b.column("doc_id").to_numpy(zero_copy_only=False), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(mine).tobytes(), 1)], pa.binary())], names=["bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for r in needs.select("doc_id").mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(zstandard.decompress(bytes(r["bits"])), np.uint8)
+    return needs.sparkSession.sparkContext.broadcast(total)
+
+
 def _pack_lists(size: np.ndarray, doc: np.ndarray) -> bytes:
     return zstandard.compress(np.array([len(size)], np.int64).tobytes() + squeeze(size.astype(np.int64)) + squeeze(doc.astype(np.int64)), 1)
 
