@@ -44,7 +44,7 @@ from granary.plans.lineage import table
 
 SLOTS = 20
 SEEDS = 3
-_LOW = np.uint64((1 << 16) - 1)  # signatures keep 48 bits: a collision costs a look, never a pair
+ASK_BY_BROADCAST = 1_000_000  # rows (16 MB) up to which the ids asked for are broadcast; beyond, both sides are shuffled
 
 
 def token_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +174,7 @@ def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray)
         z = np.zeros(0, np.int64)
         return z.view(np.uint64), z, z
     sig, doc, larger = map(np.concatenate, zip(*found, strict=True))
-    return sig & ~_LOW, doc, larger
+    return sig, doc, larger
 
 
 def heavy_slots(base: DataFrame, n: int, least: int) -> np.ndarray:
@@ -239,6 +239,9 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
     shared = spark.sparkContext.broadcast(heavy_slots(base, n, heavy_least))  # a megabyte, whatever the data
     sent = pa.schema([("part", pa.int32()), ("payload", pa.binary()), ("ids", pa.binary())])
 
+    # as many bits as keep chance meetings in proportion to the data: a collision costs a look, never a pair
+    low = np.uint64((1 << (64 - min(62, 36 + int(parts).bit_length()))) - 1)
+
     def sign(batches):
         for b in K.batches_by_bytes(batches, "text"):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
@@ -247,6 +250,7 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
             if not len(some):
                 continue
             sig, doc, larger = signatures(v, at, spaces, shared.value)
+            sig &= ~low
             whole = np.zeros(len(ids), np.uint64)
             whole[some] = K.mix(np.add.reduceat(K.mix(v * K._B + K._A), at[some]) + np.diff(at)[some].astype(np.uint64))
             sig, doc, larger = np.append(sig, whole[some] | np.uint64(1)), np.append(doc, some), np.append(larger, np.ones(len(some), np.int64))
@@ -255,7 +259,7 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
             rows = []
             for p, s in split_sorted(sig, parts):
                 used, local = np.unique(doc[s], return_inverse=True)
-                rows.append((p, pack(sig[s], (local * 2 + larger[s]).astype(np.uint32)), zstandard.compress(squeeze(ids[used]) + squeeze(whole[used]), 1)))
+                rows.append((p, pack(sig[s], (local * 2 + larger[s]).astype(np.uint32)), zstandard.compress(squeeze(np.diff(ids[used], prepend=np.int64(0))) + squeeze(whole[used]), 1)))
             yield batch_of(sent, *zip(*rows, strict=True))
 
     lists = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
@@ -266,7 +270,7 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
             for payload, ids in zip(b.column("payload").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 s, local = unpack(payload, np.uint32)
                 raw = zstandard.decompress(ids)
-                who, whole = unsqueeze(raw[: len(raw) // 2], np.int64), unsqueeze(raw[len(raw) // 2 :], np.uint64)
+                who, whole = np.cumsum(unsqueeze(raw[: len(raw) // 2], np.int64)), unsqueeze(raw[len(raw) // 2 :], np.uint64)
                 sig.append(s)
                 doc.append(who[local >> 1])
                 name.append(whole[local >> 1])
@@ -349,7 +353,8 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
                 yield batch_of(want, np.full(len(doc), p), doc)
 
     needs = table(work.mapInArrow(members, "part int, doc_id long").distinct(), "jaccard-needs")
-    wanted = _membership(needs, needs.count())
+    asked = needs.count()
+    wanted = _membership(needs, asked)
     text = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary())])
 
     def pick(batches):
@@ -361,7 +366,7 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: in
                 yield batch_of(text, b.column("doc_id"), [zstandard.compress(x.encode(), 1) for x in b.column("text").to_pylist()])
 
     out = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("jaccard", pa.float64())])
-    fetched = base.mapInArrow(pick, "doc_id long, payload binary").join(needs, "doc_id").select("part", "doc_id", "payload")
+    fetched = base.mapInArrow(pick, "doc_id long, payload binary").join(F.broadcast(needs) if asked <= ASK_BY_BROADCAST else needs, "doc_id").select("part", "doc_id", "payload")
     work = work.select("part", F.lit(None).cast("long").alias("doc_id"), "payload").unionByName(fetched)
 
     def verify(batches):
