@@ -1,0 +1,77 @@
+"""Operators over documents: cleaning, dedup, contamination, audit, splits and curriculum."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from granary.functions import text as T
+
+
+def clean(docs: DataFrame, min_words: int = 50, max_words: int = 100_000) -> DataFrame:
+    """(doc_id, source, clean_text, n_words, reject_reason): the fixed order of cleaning steps, and the first gate that fails."""
+    out = docs.select("doc_id", "source", T.redact(T.tidy_space(T.strip_html(F.col("text")))).alias("clean_text")).withColumn("n_words", T.word_count(F.col("clean_text")))
+    return out.withColumn("reject_reason", F.when(F.col("n_words") < min_words, "too_short").when(F.col("n_words") > max_words, "too_long"))
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """(content_sha256, doc_id, copies): the least id of each content; partial aggregation, so a hot content costs one row a task."""
+    return docs.groupBy(T.content_sha256(F.col("text")).alias("content_sha256")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+def shingles(df: DataFrame, key: str, n: int) -> DataFrame:
+    ws = df.select(key, T.words(T.hash_form(F.col("text"))).alias("ws")).where(F.size("ws") >= n)
+    return ws.select(key, F.explode(F.array_distinct(F.expr(f"transform(sequence(0, size(ws) - {n}), i -> sha2(array_join(slice(ws, i + 1, {n}), ' '), 256))"))).alias("gram"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, min_hits: int = 2) -> DataFrame:
+    """(doc_id, item_id, hits) of items that share `min_hits` n-grams with a document."""
+    return shingles(docs, "doc_id", n).join(shingles(benchmark, "item_id", n), "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("hits")).where(F.col("hits") >= min_hits)
+
+
+def corpus_report(docs: DataFrame) -> DataFrame:
+    """(source, lang, docs, words, chars, empty): all combinations of both, by source, and overall."""
+    wide = docs.select("source", "lang", T.word_count(F.col("text")).alias("w"), F.length("text").alias("c"))
+    return wide.groupingSets([["source", "lang"], ["source"], []], "source", "lang").agg(F.count("*").alias("docs"), F.sum("w").alias("words"), F.sum("c").alias("chars"), F.sum((F.col("w") == 0).cast("int")).alias("empty"))
+
+
+def split(docs: DataFrame, eval_percent: int = 5) -> DataFrame:
+    """(doc_id, split): by the content's digest, so that copies fall on one side."""
+    bucket = F.pmod(F.conv(F.substring(F.md5(T.hash_form(F.col("text"))), 1, 8), 16, 10).cast("long"), F.lit(100))
+    return docs.select("doc_id", F.when(bucket < eval_percent, "eval").otherwise("train").alias("split"))
+
+
+def shard_offsets(docs: DataFrame, block: int = 2048) -> DataFrame:
+    """(source, doc_id, first_token, first_block): where a document starts in its source's token stream.
+
+    The running sum is taken within a source; sums of sources are not gathered."""
+    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = docs.select("source", "doc_id", T.word_count(F.col("text")).alias("n")).withColumn("first_token", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    return out.select("source", "doc_id", "first_token", F.floor(F.col("first_token") / block).alias("first_block"))
+
+
+def mixture_weights(spark: SparkSession, groups: list[tuple[str, float, float]], steps: int, every: int) -> DataFrame:
+    """(step, group_name, weight): initial to final weight in a straight line, each step's weights adding up to 1."""
+    table = spark.createDataFrame(groups, "group_name string, first double, last double")
+    at = spark.range(0, steps + 1, every).select(F.col("id").alias("step"))
+    line = at.crossJoin(F.broadcast(table)).withColumn("raw", F.col("first") + (F.col("last") - F.col("first")) * F.col("step") / steps)
+    return line.select("step", "group_name", F.round(F.col("raw") / F.sum("raw").over(Window.partitionBy("step")), 6).alias("weight"))
+
+
+def learning_rate(spark: SparkSession, steps: int, warmup: int, peak: float, floor: float) -> DataFrame:
+    """(step, rate): linear warm-up, cosine to the floor."""
+    s = F.col("step")
+    cosine = floor + 0.5 * (peak - floor) * (1 + F.cos(F.lit(3.141592653589793) * (s - warmup) / (steps - warmup)))
+    return spark.range(steps + 1).select(F.col("id").alias("step")).select("step", F.round(F.when(s < warmup, peak * (s + 1) / warmup).when(s >= steps, F.lit(floor)).otherwise(cosine), 10).alias("rate"))
+
+
+def word_features(docs: DataFrame) -> DataFrame:
+    """(word, n, syllable_count, last_vowel): every distinct word in lower case with its linguistic features."""
+    return docs.select(F.explode(T.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).select("word", "n", T.syllables(F.col("word")).alias("syllable_count"), T.last_vowel_class(F.col("word")).alias("last_vowel"))
+
+
+def turn_changes(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns, role_changes, words)."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    out = conversations.select("conv_id", "turn", "role", T.word_count(F.col("text")).alias("w"), F.lag("role").over(w).alias("was"))
+    return out.groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.coalesce((F.col("role") != F.col("was")).cast("int"), F.lit(0))).alias("role_changes"), F.sum("w").alias("words"))

@@ -2,5 +2,71 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from granary.functions import text as T
+from granary.functions.quality import quality_signals
+from granary.operators import documents as D
+from pyspark.sql import functions as F
+
+
+def _docs(spark, d, name="documents"):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+MIX = [("general", 0.2, 0.6), ("high_quality", 0.8, 0.4)]
+
+QUERIES = {
+    "clean_pipeline": lambda s, d: D.clean(_docs(s, d)),
+    "page_text": lambda s, d: _docs(s, d, "pages").select("page_id", T.tidy_space(T.strip_html(F.col("html"))).alias("page_text")),
+    "exact_dedup": lambda s, d: D.first_copies(_docs(s, d)),
+    "quality_signals": lambda s, d: quality_signals(_docs(s, d)),
+    "contamination": lambda s, d: D.contamination(_docs(s, d), _docs(s, d, "benchmark")),
+    "corpus_report": lambda s, d: D.corpus_report(_docs(s, d)),
+    "train_eval_split": lambda s, d: D.split(_docs(s, d)),
+    "shard_offsets": lambda s, d: D.shard_offsets(_docs(s, d)),
+    "mixture_weights": lambda s, d: D.mixture_weights(s, MIX, 100, 10),
+    "learning_rate": lambda s, d: D.learning_rate(s, 1000, 100, 3e-4, 3e-5),
+    "word_features": lambda s, d: D.word_features(_docs(s, d)),
+    "turn_changes": lambda s, d: D.turn_changes(_docs(s, d, "conversations")),
+}
+
+_STRIP = r"regexp_replace(regexp_replace(regexp_replace({}, '<[^>]+>', '', 'g'), '&[a-zA-Z]+;', ' ', 'g'), '&#[0-9]+;', ' ', 'g')"
+_TIDY = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\n{{3,}}', E'\n\n', 'g'), '(?m)^[ \t\r\f\v]+|[ \t\r\f\v]+$', '', 'g'), '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+_REDACT = rf"regexp_replace(regexp_replace({{}}, '{T.EMAIL}', '<EMAIL>', 'g'), '{T.IPV4}', '<IP_ADDRESS>', 'g')".replace("{3}", "{{3}}")
+_WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
+_NORM = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+
+
+def _w(x: str) -> str:
+    return _WORDS.format(x)
+
+
+ORACLES = {
+    "clean_pipeline": f"""SELECT *, CASE WHEN n_words < 50 THEN 'too_short' WHEN n_words > 100000 THEN 'too_long' END AS reject_reason FROM
+(SELECT doc_id, source, clean_text, len({_w("clean_text")})::INTEGER AS n_words FROM (SELECT doc_id, source, {_REDACT.format(_TIDY.format(_STRIP.format("text")))} AS clean_text FROM documents))""",
+    "page_text": f"SELECT page_id, {_TIDY.format(_STRIP.format('html'))} AS page_text FROM pages",
+    "exact_dedup": f"SELECT sha256({_NORM.format('text')}) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "quality_signals": rf"""WITH b AS (SELECT doc_id, text, {_w("text")} AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> '') AS ls FROM documents),
+f AS (SELECT doc_id, len(ws)::INTEGER AS n_words, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / greatest(length(text), 1) AS a, len(list_distinct(list_transform(ws, lambda w: lower(w)))) / len(ws) AS u,
+  length(array_to_string(ws, '')) / len(ws) AS m, len(list_filter(ls, lambda x: len({_w("x").replace("lambda w: w", "lambda y: y")}) < 3)) / greatest(len(ls), 1) AS s FROM b WHERE len(ws) > 0)
+SELECT doc_id, n_words, round(a, 4) AS alpha, round(u, 4) AS unique_words, round(m, 4) AS mean_length, round(s, 4) AS short_lines,
+round(0.4::DOUBLE * greatest(0, least(1, (a - 0.35) / 0.4)) + 0.3::DOUBLE * least(u / 0.5, 1) + 0.2::DOUBLE * greatest(0, 1 - abs(m - 6) / 12) + 0.1::DOUBLE * (1 - s), 4) AS quality FROM f""",
+    "contamination": f"""WITH d AS (SELECT doc_id AS id, {_w(_NORM.format("text"))} AS ws FROM documents), b AS (SELECT item_id AS id, {_w(_NORM.format("text"))} AS ws FROM benchmark),
+dg AS (SELECT DISTINCT id, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+bg AS (SELECT DISTINCT id, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 11)) AS i FROM b))
+SELECT dg.id AS doc_id, bg.id AS item_id, count(*) AS hits FROM dg JOIN bg USING (g) GROUP BY 1, 2 HAVING count(*) >= 2""",
+    "corpus_report": f"""SELECT source, lang, count(*) AS docs, sum(w)::BIGINT AS words, sum(c)::BIGINT AS chars, sum((w = 0)::INTEGER)::BIGINT AS empty
+FROM (SELECT source, lang, len({_w("text")}) AS w, length(text) AS c FROM documents) GROUP BY GROUPING SETS ((source, lang), (source), ())""",
+    "train_eval_split": f"SELECT doc_id, CASE WHEN ('0x' || substr(md5({_NORM.format('text')}), 1, 8))::BIGINT % 100 < 5 THEN 'eval' ELSE 'train' END AS split FROM documents",
+    "shard_offsets": f"""SELECT source, doc_id, first_token, (first_token // 2048)::BIGINT AS first_block FROM (SELECT source, doc_id,
+coalesce(sum(len({_w("text")})) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_token FROM documents)""",
+    "mixture_weights": """WITH g(group_name, a, b) AS (VALUES ('general', 0.2::DOUBLE, 0.6::DOUBLE), ('high_quality', 0.8::DOUBLE, 0.4::DOUBLE)),
+l AS (SELECT step, group_name, a + (b - a) * step / 100 AS raw FROM g, (SELECT unnest(range(0, 101, 10)) AS step))
+SELECT step, group_name, round(raw / sum(raw) OVER (PARTITION BY step), 6) AS weight FROM l""",
+    "learning_rate": """SELECT step, round(CASE WHEN step < 100 THEN 3e-4 * (step + 1) / 100 WHEN step >= 1000 THEN 3e-5 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(3.141592653589793 * (step - 100) / 900)) END, 10) AS rate
+FROM (SELECT unnest(range(0, 1001)) AS step)""",
+    "word_features": f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest({_w("lower(text)")}) AS word FROM documents) GROUP BY word),
+v AS (SELECT word, n, regexp_extract(word, '([aeıioöuü])[^aeıioöuü]*$', 1) AS l FROM w)
+SELECT word, n, length(regexp_replace(word, '[^aeıioöuüAEIİOÖUÜ]', '', 'g'))::INTEGER AS syllable_count, CASE WHEN l IN ('a', 'ı', 'o', 'u') THEN 0 WHEN l IN ('e', 'i', 'ö', 'ü') THEN 1 ELSE 2 END::INTEGER AS last_vowel FROM v""",
+    "turn_changes": f"""SELECT conv_id, count(*) AS turns, sum(CASE WHEN role <> was THEN 1 ELSE 0 END)::BIGINT AS role_changes, sum(w)::BIGINT AS words
+FROM (SELECT conv_id, role, len({_w("text")}) AS w, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS was FROM conversations) GROUP BY conv_id""",
+}
