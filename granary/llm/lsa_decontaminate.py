@@ -56,6 +56,24 @@ def _cell_of(at: np.ndarray, cells: np.ndarray, token: np.ndarray) -> np.ndarray
     return cells[doc] + (token - at[doc]) // CELL
 
 
+def _run_sums(table: np.ndarray, index: np.ndarray, r: np.ndarray, most: int = 32) -> np.ndarray:
+    """Sum of the rows table[index] of each run, place after place for all runs at once; long runs in pieces."""
+    size = np.diff(r)
+    if len(size) and size.max() > most:
+        pieces = -(-size // most)
+        first = np.cumsum(pieces) - pieces
+        place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+        part = _run_sums(table, index, np.append(np.repeat(r[:-1], pieces) + place * most, r[-1]), most)
+        return _run_sums(part, np.arange(len(part)), np.append(first, len(part)), most)
+    out, at, j = table[index[r[:-1]]], r[:-1], 1
+    live = np.flatnonzero(size > 1)
+    while len(live):
+        out[live] += table[index[at[live] + j]]
+        j += 1
+        live = live[size[live] > j]
+    return out
+
+
 def lcs(item: dict[int, int], m: int, text) -> int:
     """Length of the longest common subsequence; `item` maps a word to the bit set of its places."""
     v = full = (1 << m) - 1
@@ -131,8 +149,8 @@ def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, seed: int)
     sums = pa.schema([("part", pa.int32()), ("z", pa.binary())])
 
     def sketch(batches):
-        z = np.zeros((m, width), np.float32)
-        for b in K.batches_by_bytes(batches, "text"):
+        z, alone, scaled = np.zeros((m, width), np.float32), np.zeros(m), start * idf[:, None]
+        for b in K.batches_by_bytes(batches, "text", 1 << 20):  # the rows of a batch stay in the cache
             h, at = K.words(b.column("text"), "punct", lower=True)
             hit, term = _vocabulary_index(vocabulary, h)
             used = idf[term] > 0
@@ -140,14 +158,21 @@ def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, seed: int)
             if not len(hit):
                 continue
             cell = _cell_of(at, _cells(at), hit)
-            w = idf[term][:, None]
+            size = np.diff(K.runs(cell))
+            one = np.repeat(size == 1, size)  # a cell of one such word adds to the diagonal of A'A only
+            alone += np.bincount(term[one], idf[term[one]] ** 2, m)
+            term, cell = term[~one], cell[~one]
+            if not len(term):
+                continue
             r = K.runs(cell)
-            y = np.add.reduceat(start[term] * w, r[:-1])  # A G, a row a cell
+            y = _run_sums(scaled, term, r)  # A G, a row a cell
             own = np.repeat(np.arange(len(r) - 1), np.diff(r))
             order = np.argsort(term, kind="stable")
             t = term[order]
             r = K.runs(t)
-            z[t[r[:-1]]] += np.add.reduceat(y[own[order]] * w[order], r[:-1])  # A'(A G)
+            t = t[r[:-1]]
+            z[t] += _run_sums(y, own[order], r) * idf[t][:, None]  # A'(A G)
+        z += (alone[:, None] * start).astype(np.float32)
         yield batch_of(sums, np.arange(_BLOCKS), [z[i].tobytes() for i in blocks])
 
     def add(batches):
@@ -167,6 +192,7 @@ def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, seed: int)
     z += (q.T @ (q @ start)) * (energy / max(float((q * q).sum()), 1e-9))  # the items are passages too, as heavy together as the corpus
     u, s, _ = np.linalg.svd(z, full_matrices=False)
     bench.directions = u[:, : min(rank, int((s > 1e-9 * max(s[0], 1e-30)).sum()))].astype(np.float32) if m else np.zeros((0, 0), np.float32)
+    bench.scaled = bench.directions * idf[:, None]
     latent = q.astype(np.float32) @ bench.directions
     bench.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
@@ -202,7 +228,7 @@ def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float
     y = np.zeros((n, bench.directions.shape[1]), np.float32)
     if mine.any():
         r = K.runs(cell[mine])
-        y[cell[mine][r[:-1]]] = np.add.reduceat(bench.directions[term[mine]] * w[mine, None].astype(np.float32), r[:-1])
+        y[cell[mine][r[:-1]]] = _run_sums(bench.scaled, term[mine], r)
     p = y[live].copy()
     two = nxt[live]
     p[two] += y[live[two] + 1]
@@ -258,7 +284,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
     def one(bench):
         def run(batches):
-            for b in K.batches_by_bytes(batches, "text"):
+            for b in K.batches_by_bytes(batches, "text", 1 << 20):
                 if rows := find(bench.value, b.column("text"), how):
                     ids = b.column("doc_id").to_numpy(zero_copy_only=False)
                     d, i, s, c, x = zip(*rows, strict=True)
@@ -279,7 +305,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
         def run(batches):
             for b in batches:
                 named = b.rename_columns([f"c{i}" for i in range(b.num_columns)])
-                for part in K.batches_by_bytes([named], f"c{at}"):
+                for part in K.batches_by_bytes([named], f"c{at}", 1 << 20):
                     keep = np.ones(part.num_rows, bool)
                     keep[[r[0] for r in find(bench.value, part.column(at), how)]] = False
                     yield part.filter(pa.array(keep)).rename_columns(b.schema.names)
