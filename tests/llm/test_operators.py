@@ -81,4 +81,4 @@ def test_bins_hold_and_are_few():
     lengths = np.random.default_rng(2).integers(1, 1000, 2000)
     at = packing.pack(lengths, 1000)
     fill = np.bincount(at, lengths)
-    assert fill.max() <= 1000 and len(fill) <= 1.05 * lengths.sum() / 1000 + 1
+    assert fill.max() <= 1000 and len(fill) <= 1.12 * lengths.sum() / 1000 + 1  # rounding up to 16 sizes costs about a tenth here
