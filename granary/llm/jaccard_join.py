@@ -231,7 +231,7 @@ def _distinct_lists(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return size[keep], doc[np.repeat(keep, size)]
 
 
-def similar(docs: DataFrame, n: int = 2, threshold: float = 0.8, heavy_least: int = 64) -> DataFrame:
+def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: int = 64) -> DataFrame:
     """(doc_id_a, doc_id_b, jaccard) of all pairs that reach the threshold."""
     spark, base = docs.sparkSession, texts(docs)
     parts = partitions(spark)
@@ -497,7 +497,7 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(read(spark, sf_dir, "documents"))
+    return similar(read(spark, sf_dir, "documents"), threshold=0.8)  # as its SQL has it
 
 
 ORACLE = r"""

@@ -65,6 +65,23 @@ def test_no_pair_is_lost():
             assert np.intersect1d(sig[doc == 0], sig[doc == 1]).size, size
 
 
+def test_no_pair_is_lost_at_the_default(spark):
+    """Near copies of similarity 0.75 to 0.8, of many sizes, against all pairs; the later one of each goes."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k, size in enumerate([16, 17, 31, 46, 77, 150, 400, 1600]):
+        a = [f"v{k}x{i}" for i in range(size)]
+        b = list(a)
+        for i in rng.choice(np.arange(2, size - 2, 2), round(size / 15.5), replace=False):  # each word changed takes two bigrams
+            b[i] = f"u{k}x{i}"
+        x, y = ({*zip(t, t[1:])} for t in (a, b))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k, 2 * k + 1] = round(len(x & y) / len(x | y), 6)
+    assert all(0.75 <= j < 0.8 for j in want.values()), want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in jaccard_join.similar(docs).collect()} == want
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(docs).collect()) == [2 * k for k in range(8)]
+
+
 def test_lines_quality_leaks_search_packing(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
     items = spark.createDataFrame([(1, PASSAGE, None), (2, None, None), (None, "x", None)], "item_id long, text string, answer string")
