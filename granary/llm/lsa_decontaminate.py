@@ -8,13 +8,15 @@ share, blocks of Z are summed by a shuffle - and the benchmark items and passage
 are compared in the space of its leading directions. The items are rows of A as well,
 together as heavy as the corpus, or the directions would tell little of them. Passages whose benchmark words
 make up less than `share` of their norm can't reach the cosine and are passed over.
+An item of more than two cells is looked for by pieces of two cells, a cell apart.
 Each candidate is then checked word by word: it is a leak if the longest common
-subsequence with the item, within the passage and one cell either side, covers
-`exact` of the item's words, or `paraphrase` of them if the answer is there too (the
+subsequence with the item, within the passage and one cell either side (for a longer
+item: its whole length from where it would begin, half of what it has over two cells
+more on either side, and the cell), covers `exact` of the item's words, or `paraphrase` of them if the answer is there too (the
 benchmark's `answer` column, else the item's rarest words).
 
-Benchmarks go out in slices of at most `slice_items` items; what a task is sent is
-bounded however large the benchmark is. Nothing of the documents is shuffled.
+Benchmarks go out in slices that end with the item at which they hold `slice_items`
+pieces; what a task is sent is bounded by that and the longest item, however large the benchmark is. Nothing of the documents is shuffled.
 
 Defined results: one row per (doc_id, item_id), at the best passage (greatest cover,
 then first). Null and empty texts or items match nothing; items of fewer than
@@ -39,6 +41,11 @@ CELL = 32
 _BLOCKS = 16
 
 
+def _pieces(words: int) -> list[int]:
+    """Where the pieces of an item of so many words begin, two cells long each (the last may be shorter)."""
+    return list(range(0, max(words - CELL, 1), CELL))
+
+
 def _vocabulary_index(vocabulary: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i = np.searchsorted(vocabulary, h)
     i[i == len(vocabulary)] = 0
@@ -92,6 +99,7 @@ class Benchmark:
         keep = [i for i in range(len(rows)) if at[i + 1] - at[i] >= min_words]
         self.ids = np.array([rows[i][0] for i in keep], np.int64)
         self.items = [h[at[i] : at[i + 1]] for i in keep]
+        self.pieces = [(k, o) for k, w in enumerate(self.items) for o in _pieces(len(w))]
         self.vocabulary = np.unique(np.concatenate(self.items)) if keep else np.zeros(0, np.uint64)
         self.answers = [K.words(pa.array([rows[i][2]], pa.string()), "punct", lower=True)[0] if rows[i][2] else None for i in keep]
         self.masks = []
@@ -115,9 +123,9 @@ class Benchmark:
                 self.answers[k] = t[order[:5]]
 
     def rows(self) -> np.ndarray:
-        q = np.zeros((len(self.items), len(self.vocabulary)))
-        for k, w in enumerate(self.items):
-            np.add.at(q[k], np.searchsorted(self.vocabulary, w), 1)
+        q = np.zeros((len(self.pieces), len(self.vocabulary)))
+        for j, (k, o) in enumerate(self.pieces):
+            np.add.at(q[j], np.searchsorted(self.vocabulary, self.items[k][o : o + 2 * CELL]), 1)
         return q * self.idf
 
 
@@ -197,6 +205,17 @@ def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, seed: int)
     bench.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
 
 
+def _cover(bench: Benchmark, k: int, words: np.ndarray, start: int, how: dict) -> float:
+    """The share of item k found in order around the place where it would begin; 0 if that is no leak."""
+    m = len(bench.items[k])
+    room = CELL + max(m - 2 * CELL, 0) // 2
+    text = words[max(0, start - room) : max(0, start + max(m, 2 * CELL) + room)].tolist()
+    if sum(map(bench.masks[k].__contains__, text)) < how["paraphrase"] * m:
+        return 0.0  # too few words of the item for any such subsequence
+    cover = lcs(bench.masks[k], m, text) / m
+    return cover if cover >= how["exact"] or (cover >= how["paraphrase"] and np.isin(bench.answers[k], text).mean() >= 0.8) else 0.0
+
+
 def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float, float]]:
     """(text, item, start word, cover, cosine) of each leak, the best passage of a pair."""
     h, at = K.words(column, "punct", lower=True)
@@ -234,21 +253,19 @@ def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float
     p[two] += y[live[two] + 1]
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
     best: dict[tuple[int, int], tuple] = {}
+    covers: dict[tuple[int, int, int], float] = {}
     for lo in range(0, len(live), 4096):
         cos = p[lo : lo + 4096] @ bench.latent.T
-        for i, k in zip(*np.nonzero(cos >= how["cosine"]), strict=True):
+        for i, j in zip(*np.nonzero(cos >= how["cosine"]), strict=True):
             c = live[lo + i]
-            d = int(doc_of[c])
-            a = at[d] + place[c] * CELL
-            text = h[max(at[d], a - CELL) : min(at[d + 1], a + 3 * CELL)].tolist()
-            m = len(bench.items[k])
-            if sum(map(bench.masks[k].__contains__, text)) < how["paraphrase"] * m:
-                continue  # too few words of the item for any such subsequence
-            cover = lcs(bench.masks[k], m, text) / m
-            if cover >= how["exact"] or (cover >= how["paraphrase"] and np.isin(bench.answers[k], text).mean() >= 0.8):
-                row = (-cover, int(place[c] * CELL), -float(cos[i, k]))
-                if row < best.get((d, int(k)), (1,)):
-                    best[(d, int(k))] = row
+            d, (k, o) = int(doc_of[c]), bench.pieces[j]
+            at_cell = int(place[c]) - o // CELL  # where the item would begin
+            if (d, k, at_cell) not in covers:
+                covers[d, k, at_cell] = _cover(bench, k, h[at[d] : at[d + 1]], at_cell * CELL, how)
+            if cover := covers[d, k, at_cell]:
+                row = (-cover, int(place[c] * CELL), -float(cos[i, j]))
+                if row < best.get((d, k), (1,)):
+                    best[(d, k)] = row
     return [(d, int(bench.ids[k]), s, -c, -x) for (d, k), (c, s, x) in sorted(best.items())]
 
 
@@ -263,11 +280,13 @@ def _slices(docs: DataFrame, benchmark: DataFrame, how: dict) -> list:
             _fit(base, b, how["rank"], how["max_df"], how["seed"])
             out.append(docs.sparkSession.sparkContext.broadcast(b))
 
+    pieces = 0
     for r in rows.toLocalIterator():
         now.append((r["i"], r["t"], r["a"]))
-        if len(now) >= how["slice_items"]:
+        pieces += len(_pieces(len(K.words(pa.array([r["t"]], pa.string()), "punct", lower=True)[0])))
+        if pieces >= how["slice_items"]:
             add()
-            now = []
+            now, pieces = [], 0
     if now:
         add()
     return out

@@ -94,6 +94,18 @@ def test_lines_quality_leaks_search_packing(spark, odd, none):
     assert sum(r["length"] for r in packed) == 60 + 62 + 62 + 1 + 30_000 and packing.pack_documents(none).count() == 0
 
 
+def test_long_items_are_found(spark):
+    """Items of 100 to 3000 words, copied verbatim at odd places; the text of another item is no leak."""
+    sizes = {1: 100, 2: 200, 3: 500, 4: 3000}
+    item = {i: " ".join(f"i{i}q{k}" for k in range(n)) for i, n in sizes.items()}
+    items = spark.createDataFrame([(i, t, None) for i, t in item.items()], "item_id long, text string, answer string")
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(50 + 7 * i)) + f" {t} " + " ".join(f"e{i}x{k}" for k in range(90))) for i, t in item.items()]
+    rows += [(9, " ".join(item[3].split()[:200])), *((100 + i, " ".join(f"f{i}x{k}" for k in range(200))) for i in range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["cover"]) for r in lsa_decontaminate.leaks(docs, items).collect()} == {(i, i, 1.0) for i in sizes}
+    assert {r["doc_id"] for r in lsa_decontaminate.drop_leaks(docs, items).collect()} == {9, *range(100, 140)}
+
+
 def test_bins_hold_and_are_few():
     lengths = np.random.default_rng(2).integers(1, 1000, 2000)
     at = packing.pack(lengths, 1000)
