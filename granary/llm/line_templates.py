@@ -14,7 +14,8 @@ among them, found with a bit set of fixed size: false hits cost bytes, never res
 Leaves are streamed from sorted partitions and a template keeps only its first
 `min_docs` lines, so memory doesn't grow with a hot line.
 
-Defined results: lines of fewer than `min_words` words carry no template and stay.
+Defined results: lines of fewer than `min_words` words (by default those without any)
+carry no template and stay; for lines no longer than `depth` the leaf is the line itself.
 Null and empty texts stay as they are; a text that loses all its words comes out
 empty in `dedup_lines` and goes in `drop_lines`. Rows without an id pass unchanged.
 Rows that repeat an id count as one document. Extra columns pass through
@@ -109,7 +110,7 @@ class Leaf:
         return out
 
 
-def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.6, min_docs: int = 10, min_words: int = 4) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = 4, similarity: float = 0.6, min_docs: int = 10, min_words: int = 1) -> DataFrame:
     """(doc_id, line) of every line to drop; line numbers start at 0."""
     spark, base = docs.sparkSession, texts(docs)
     one = pa.schema([("leaf", pa.int64()), ("n", pa.int64())])

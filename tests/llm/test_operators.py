@@ -94,6 +94,16 @@ def test_lines_quality_leaks_search_packing(spark, odd, none):
     assert sum(r["length"] for r in packed) == 60 + 62 + 62 + 1 + 30_000 and packing.pack_documents(none).count() == 0
 
 
+def test_short_lines_that_recur_go(spark):
+    """Lines of 1 to 4 words: dropped from the tenth document on, but for the first; below that they stay."""
+    short = ["Les.", "And more", "All rights reserved.", "Read the terms here"]
+    rows = [(i, "\n".join([*short, f"own{c} text{c} of{c} it{c}", *(["Nine times"] if i < 9 else []), ""])) for i, c in enumerate("abcdefghijkl")]
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for x in short:
+        assert [i for i in range(12) if x in got[i]] == [0], x
+    assert sum("Nine times" in t for t in got.values()) == 9 and all(t[-1] == "" for t in got.values())
+
+
 def test_long_items_are_found(spark):
     """Items of 100 to 3000 words, copied verbatim at odd places; the text of another item is no leak."""
     sizes = {1: 100, 2: 200, 3: 500, 4: 3000}
