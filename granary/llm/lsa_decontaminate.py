@@ -8,6 +8,10 @@ share, blocks of Z are summed by a shuffle - and the benchmark items and passage
 are compared in the space of its leading directions. The items are rows of A as well,
 together as heavy as the corpus, or the directions would tell little of them. Passages whose benchmark words
 make up less than `share` of their norm can't reach the cosine and are passed over.
+Words of an item that leaks into more than `max_df` of the cells lose their weight too; a
+piece of which half the words or more are left without is looked for by its words
+themselves: in passages that hold at least `cosine` of them (the cosine reported is then
+that of the two sets of words).
 An item of more than two cells is looked for by pieces of two cells, a cell apart.
 Each candidate is then checked word by word: it is a leak if the longest common
 subsequence with the item, within the passage and one cell either side (for a longer
@@ -114,6 +118,7 @@ class Benchmark:
         self.idf[df > max(max_df * cells, 2)] = 0.0  # a word in one or two cells is never common
         if not self.idf.any():
             self.idf = np.log((cells + 1) / (df + 1.0)) + 1
+        self._without_weight()
         used = self.idf[self.idf > 0]
         self.other = float(np.mean(used)) if len(used) else 1.0
         for k, w in enumerate(self.items):
@@ -122,6 +127,19 @@ class Benchmark:
                 order = np.lexsort((t, -self.idf[np.searchsorted(self.vocabulary, t)]))
                 self.answers[k] = t[order[:5]]
 
+    def _without_weight(self) -> None:
+        """The pieces of which half the words or more have no weight, and a table of their words: word x piece."""
+        terms = [np.unique(np.searchsorted(self.vocabulary, self.items[k][o : o + 2 * CELL])) for k, o in self.pieces]
+        self.bare = np.array([j for j, t in enumerate(terms) if 2 * (self.idf[t] > 0).sum() <= len(t)], np.int64)
+        self.bare_size = np.array([len(terms[j]) for j in self.bare], np.int64)
+        self.bare_row = np.full(len(self.vocabulary), -1)
+        if len(self.bare):
+            used = np.unique(np.concatenate([terms[j] for j in self.bare]))
+            self.bare_row[used] = np.arange(len(used))
+            self.bare_table = np.zeros((len(used), len(self.bare)), np.uint8)  # a piece has 64 words at most
+            for i, j in enumerate(self.bare):
+                self.bare_table[self.bare_row[terms[j]], i] = 1
+
     def rows(self) -> np.ndarray:
         q = np.zeros((len(self.pieces), len(self.vocabulary)))
         for j, (k, o) in enumerate(self.pieces):
@@ -216,6 +234,24 @@ def _cover(bench: Benchmark, k: int, words: np.ndarray, start: int, how: dict) -
     return cover if cover >= how["exact"] or (cover >= how["paraphrase"] and np.isin(bench.answers[k], text).mean() >= 0.8) else 0.0
 
 
+def _by_words(bench: Benchmark, cell: np.ndarray, term: np.ndarray, nxt: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, piece, cosine of their sets of words) where a passage has at least `least` of the words of a piece without weight."""
+    mine = bench.bare_row[term] >= 0
+    cell, row, n = cell[mine], bench.bare_row[term[mine]], len(bench.bare_table)
+    first = np.flatnonzero((cell > 0) & nxt[cell - 1])  # words of the second cell of a passage
+    pair = np.unique(np.append(cell, cell[first] - 1) * n + np.append(row, row[first]))
+    if not len(pair):
+        return pair, pair, pair
+    r = K.runs(pair // n)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(r) - 1, 4096):
+        at = r[lo : lo + 4097]
+        both = _run_sums(bench.bare_table, pair % n, at)
+        i, j = np.nonzero(both >= least * bench.bare_size)
+        found.append((pair[at[i]] // n, bench.bare[j], both[i, j] / np.sqrt(bench.bare_size[j] * np.diff(at)[i])))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float, float]]:
     """(text, item, start word, cover, cosine) of each leak, the best passage of a pair."""
     h, at = K.words(column, "punct", lower=True)
@@ -238,8 +274,6 @@ def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float
     other2[nxt] += other[1:][nxt[:-1]]
     live = np.flatnonzero(own2 >= how["share"] ** 2 * (own2 + other2) - 1e-12)
     live = live[own2[live] > 0]
-    if not len(live):
-        return []
     need = np.zeros(n + 1, bool)
     need[live] = True
     need[1:] |= need[:-1] & nxt
@@ -254,18 +288,24 @@ def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
     best: dict[tuple[int, int], tuple] = {}
     covers: dict[tuple[int, int, int], float] = {}
-    for lo in range(0, len(live), 4096):
-        cos = p[lo : lo + 4096] @ bench.latent.T
-        for i, j in zip(*np.nonzero(cos >= how["cosine"]), strict=True):
-            c = live[lo + i]
+
+    def look(passages: np.ndarray, pieces: np.ndarray, cosines: np.ndarray) -> None:
+        for c, j, cos in zip(passages.tolist(), pieces.tolist(), cosines.tolist(), strict=True):
             d, (k, o) = int(doc_of[c]), bench.pieces[j]
             at_cell = int(place[c]) - o // CELL  # where the item would begin
             if (d, k, at_cell) not in covers:
                 covers[d, k, at_cell] = _cover(bench, k, h[at[d] : at[d + 1]], at_cell * CELL, how)
             if cover := covers[d, k, at_cell]:
-                row = (-cover, int(place[c] * CELL), -float(cos[i, j]))
+                row = (-cover, int(place[c] * CELL), -cos)
                 if row < best.get((d, k), (1,)):
                     best[(d, k)] = row
+
+    for lo in range(0, len(live), 4096):
+        cos = p[lo : lo + 4096] @ bench.latent.T
+        i, j = np.nonzero(cos >= how["cosine"])
+        look(live[lo + i], j, cos[i, j])
+    if len(bench.bare):
+        look(*_by_words(bench, cell, term, nxt, how["cosine"]))
     return [(d, int(bench.ids[k]), s, -c, -x) for (d, k), (c, s, x) in sorted(best.items())]
 
 

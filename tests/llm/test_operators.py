@@ -116,6 +116,16 @@ def test_long_items_are_found(spark):
     assert {r["doc_id"] for r in lsa_decontaminate.drop_leaks(docs, items).collect()} == {9, *range(100, 140)}
 
 
+@pytest.mark.parametrize(("docs", "every"), [(6, 2), (40, 1), (300, 4)])
+def test_an_item_that_leaks_much_is_found(spark, docs, every):
+    """One item in every, second or fourth document, another in one: each verbatim leak is found, in small tables as in larger ones."""
+    hot, rare = (" ".join(f"{x}{k}" for k in range(20)) for x in ("hot", "rare"))
+    items = spark.createDataFrame([(1, hot, None), (2, rare, None)], "item_id long, text string, answer string")
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(40)) + f" {hot if i % every == 0 else ''} {rare if i == 3 else ''} " + " ".join(f"e{i}x{k}" for k in range(40))) for i in range(docs)]
+    got = {(r["doc_id"], r["item_id"], r["cover"]) for r in lsa_decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {(i, 1, 1.0) for i in range(0, docs, every)} | {(3, 2, 1.0)}
+
+
 def test_bins_hold_and_are_few():
     lengths = np.random.default_rng(2).integers(1, 1000, 2000)
     at = packing.pack(lengths, 1000)
