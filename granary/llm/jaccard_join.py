@@ -20,13 +20,24 @@ index segments of one token and none as well. So no pair is lost.
 The list of documents that share a signature goes to the partition of its least id, together with their
 texts, where similarities are computed from whole sets.
 
-Defined results: rows (doc_id_a, doc_id_b, jaccard) with a < b. Documents with equal
-sets are represented by the least id among them: they are joined to it with similarity
-1, and only it is joined to others, which says the same as all pairs in fewer rows. A
-text of fewer words than n has one token, all its words; null, empty and wordless texts
-match nothing; rows without an id are left out; repeated rows count once, and if rows
-share an id the best pair counts; extra columns are ignored. Words are runs of letters,
-digits and non-ASCII characters, in lower case.
+Documents with equal sets are one node, represented by the least id among them: a map
+task signs one of each set in its batch, and who belongs to which set is an aggregate
+and a join on the hash of the set, so a text that a third of the rows share costs a
+signature a batch. A task sends what it found as packed neighbour lists, one row a node,
+and as stars of the parts that hang together; pairs of a hot group are never rows.
+
+Defined results: `classes` has one row for every document with an id: (doc_id, class_id,
+links, copies). class_id is the least id that can be reached over links, links counts the
+other sets that reach the threshold with the document's own, copies the other documents
+with an equal set. `similar` lists the links as rows (doc_id_a, doc_id_b, jaccard), a < b,
+between representatives, and joins every other document to its own with similarity 1;
+`all_pairs` spells out the pairs between all documents instead. A text of fewer words than
+n has one token, all its words; null, empty and wordless texts match nothing and are a
+class of their own; rows without an id are left out; repeated rows count once; rows that share
+an id are one document, linked to what any of them is like, with the most links and copies
+of any; extra columns are ignored. Words are runs of letters, digits and non-ASCII
+characters, in lower case. `keep_one` keeps one row of each class (of the least id, and of rows that
+share it the one of the greatest text); there, rows without an id are compared too, equal texts as one.
 """
 
 from __future__ import annotations
@@ -35,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm import kernels as K
@@ -177,17 +188,36 @@ def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray)
     return sig, doc, larger
 
 
-def heavy_slots(base: DataFrame, n: int, least: int) -> np.ndarray:
-    """Which of 2**SLOTS hash slots hold far more tokens than most, counted over all documents."""
-    count = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
-    pieces = 16
+def _names(v: np.ndarray, at: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Hash of each whole set."""
+    return K.mix(np.add.reduceat(K.mix(v * K._B + K._A), at[some]) + np.diff(at)[some].astype(np.uint64))
+
+
+PIECES = 16
+
+
+def census(base: DataFrame, n: int) -> DataFrame:
+    """A written table: (doc_id, whole) of every row (whole: the hash of its set, null without a word), and the tokens of each hash slot as packed counts by task."""
+    out = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("whole", pa.int64()), ("counts", pa.binary())])
 
     def run(batches):
         total = np.zeros(1 << SLOTS, np.int32)
         for b in K.batches_by_bytes(batches, "text"):
-            v, _ = token_sets(b.column("text"), n)
+            v, at = token_sets(b.column("text"), n)
             total += np.bincount((v >> np.uint64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS).astype(np.int32)
-        yield batch_of(count, np.arange(pieces), [zstandard.compress(squeeze(x), 1) for x in np.split(total, pieces)])
+            some = np.flatnonzero(np.diff(at))
+            whole = np.zeros(b.num_rows, np.int64)
+            if len(some):
+                whole[some] = _names(v, at, some).view(np.int64)
+            yield batch_of(out, np.full(b.num_rows, -1), b.column("doc_id"), pa.array(whole, mask=np.diff(at) == 0), [None] * b.num_rows)
+        yield batch_of(out, np.arange(PIECES), [None] * PIECES, [None] * PIECES, [zstandard.compress(squeeze(x), 1) for x in np.split(total, PIECES)])
+
+    return table(base.mapInArrow(run, "part int, doc_id long, whole long, counts binary"), "jaccard-census")
+
+
+def heavy_slots(found: DataFrame, least: int) -> np.ndarray:
+    """Which of 2**SLOTS hash slots hold far more tokens than most, counted over all documents."""
+    count = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -198,13 +228,19 @@ def heavy_slots(base: DataFrame, n: int, least: int) -> np.ndarray:
         if total:
             yield batch_of(count, list(total), [zstandard.compress(x.tobytes(), 1) for x in total.values()])
 
-    kinds = "part int, counts binary"
-    out = np.zeros((pieces, (1 << SLOTS) // pieces), np.int64)
-    for r in by_part(base.mapInArrow(run, kinds), pieces).mapInArrow(add, kinds).collect():  # 8 MB at most, whatever the data
+    out = np.zeros((PIECES, (1 << SLOTS) // PIECES), np.int64)
+    for r in by_part(found.where("part >= 0").select("part", "counts"), PIECES).mapInArrow(add, "part int, counts binary").collect():  # 8 MB at most, whatever the data
         out[r["part"]] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), np.int64)
     return out.reshape(-1) >= max(least, 8 * out.mean())
 
 
+def _subset(v: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets numbered in `keep`, and their offsets."""
+    size = np.diff(at)[keep]
+    to = np.append(0, np.cumsum(size))
+    return v[np.repeat(at[keep] - to[:-1], size) + np.arange(int(to[-1]))], to
+
+
 def _groups(key: np.ndarray, doc: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct documents of each run of equal keys, of two or more; only runs with something useful."""
     order = np.lexsort((doc, key))
@@ -231,12 +267,12 @@ def _distinct_lists(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     return size[keep], doc[np.repeat(keep, size)]
 
 
-def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: int = 64) -> DataFrame:
-    """(doc_id_a, doc_id_b, jaccard) of all pairs that reach the threshold."""
-    spark, base = docs.sparkSession, texts(docs)
+def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy_least: int, emit, kinds: str) -> DataFrame:
+    """What `emit(pairs)` makes, in each task, of the verified pairs (a, b, similarity) of representatives."""
+    spark = base.sparkSession
     parts = partitions(spark)
     spaces = Spaces(threshold)
-    shared = spark.sparkContext.broadcast(heavy_slots(base, n, heavy_least))  # a megabyte, whatever the data
+    shared = spark.sparkContext.broadcast(heavy_slots(found, heavy_least))  # a megabyte, whatever the data
     sent = pa.schema([("part", pa.int32()), ("payload", pa.binary()), ("ids", pa.binary())])
 
     # as many bits as keep chance meetings in proportion to the data: a collision costs a look, never a pair
@@ -249,11 +285,12 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
             some = np.flatnonzero(np.diff(at))
             if not len(some):
                 continue
-            sig, doc, larger = signatures(v, at, spaces, shared.value)
+            whole = _names(v, at, some)
+            order = np.lexsort((ids[some], whole))  # the least id of the batch signs for all with the same set
+            one = np.sort(order[K.runs(whole[order])[:-1]])
+            ids, whole = ids[some[one]], whole[one]
+            sig, doc, larger = signatures(*_subset(v, at, some[one]), spaces, shared.value)
             sig &= ~low
-            whole = np.zeros(len(ids), np.uint64)
-            whole[some] = K.mix(np.add.reduceat(K.mix(v * K._B + K._A), at[some]) + np.diff(at)[some].astype(np.uint64))
-            sig, doc, larger = np.append(sig, whole[some] | np.uint64(1)), np.append(doc, some), np.append(larger, np.ones(len(some), np.int64))
             order = np.argsort(sig)
             sig, doc, larger = sig[order], doc[order], larger[order]
             rows = []
@@ -282,10 +319,7 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
         r = K.runs(sig[order])
         order = order[np.repeat(np.diff(r) > 1, np.diff(r))]
         sig, doc, name, larger = sig[order], doc[order], name[order], larger[order]
-        exact = (sig & np.uint64(1)) > 0
-        starts, same = _groups(sig[exact], doc[exact], larger[exact])
-        rows = [(-1, same[i:j].tobytes()) for i, j in zip(starts[:-1], starts[1:], strict=True)]
-        sig, doc, name, larger = sig[~exact], doc[~exact], name[~exact], larger[~exact]
+        rows = []
         order = np.lexsort((doc, name))  # the least id stands for all with the same set: they share all signatures
         r = K.runs(name[order])
         if len(order):
@@ -309,12 +343,9 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
         size, doc = [], []
         for b in batches:
             for p, payload in zip(b.column("part").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                if p < 0:
-                    yield batch_of(lists, [-1], [None], [payload])
-                else:
-                    s, d = _unpack_lists(payload)
-                    size.append(s)
-                    doc.append(d)
+                s, d = _unpack_lists(payload)
+                size.append(s)
+                doc.append(d)
         if size:
             size, doc = _distinct_lists(np.append(0, np.cumsum(np.concatenate(size))), np.concatenate(doc))
             begin = np.cumsum(size) - size
@@ -331,9 +362,9 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
             yield batch_of(lists, np.zeros(len(rows), int), *zip(*rows, strict=True))
             yield batch_of(lists, np.ones(len(seen), int), seen, [x.tobytes() for x in least[order][first]])
 
-    kinds = "part int, doc_id long, payload binary"
-    met = by_part(base.mapInArrow(sign, "part int, payload binary, ids binary"), parts).mapInArrow(meet, kinds)
-    merged = table(met.repartitionById(parts, F.pmod("part", F.lit(parts))).mapInArrow(merge, kinds), "jaccard-lists")
+    packed = "part int, doc_id long, payload binary"
+    met = by_part(base.mapInArrow(sign, "part int, payload binary, ids binary"), parts).mapInArrow(meet, packed)
+    merged = table(by_part(met, parts).mapInArrow(merge, packed), "jaccard-lists")
 
     # a list goes where the least id goes that its own least id has met: the lists of a group of copies mostly agree on it
     def label(batches):
@@ -365,7 +396,6 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
             if b.num_rows:
                 yield batch_of(text, b.column("doc_id"), [zstandard.compress(x.encode(), 1) for x in b.column("text").to_pylist()])
 
-    out = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("jaccard", pa.float64())])
     fetched = base.mapInArrow(pick, "doc_id long, payload binary").join(F.broadcast(needs) if asked <= ASK_BY_BROADCAST else needs, "doc_id").select("part", "doc_id", "payload")
     work = work.select("part", F.lit(None).cast("long").alias("doc_id"), "payload").unionByName(fetched)
 
@@ -385,18 +415,110 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
                     ids += part.column("doc_id").to_pylist()
                     sets += [v[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
         if size:
-            for a, z, s in verified(ids, sets, np.concatenate(size), np.concatenate(doc), threshold):
-                yield batch_of(out, a, z, s)
+            yield from emit(verified(ids, sets, np.concatenate(size), np.concatenate(doc), threshold))
+
+    return by_part(work, parts).mapInArrow(verify, kinds)
+
+
+PAIR = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("jaccard", pa.float64())])
+
+
+def _as_pairs(pairs):
+    for a, z, s in pairs:
+        yield batch_of(PAIR, a, z, s)
 
-    def stars(batches):
-        for b in batches:
-            for payload in b.column("payload").to_pylist():
-                x = np.frombuffer(payload, np.int64)
-                yield batch_of(out, np.full(len(x) - 1, x[0]), x[1:], np.ones(len(x) - 1))
 
-    pairs = "doc_id_a long, doc_id_b long, jaccard double"
-    found = by_part(work, parts).mapInArrow(verify, pairs).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
-    return found.unionByName(merged.where("part < 0").mapInArrow(stars, pairs))
+def _members(found: DataFrame) -> DataFrame:
+    """(doc_id, rep, n): the least id with the same set (itself without a word), and how many documents have it."""
+    names = found.where("part < 0").select("doc_id", "whole").distinct()
+    sets = names.where("whole is not null").groupBy("whole").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    return names.join(sets, "whole", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"))
+
+
+def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: int = 64, all_pairs: bool = False) -> DataFrame:
+    """(doc_id_a, doc_id_b, jaccard) of the pairs that reach the threshold; see above for copies."""
+    base = texts(docs)
+    found = census(base, n)
+    kinds = "doc_id_a long, doc_id_b long, jaccard double"
+    pairs = _compared(base, found, n, threshold, heavy_least, _as_pairs, kinds).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    members = _members(found)
+    if not all_pairs:
+        return pairs.unionByName(members.where("rep <> doc_id").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard")))
+    a, b = (members.select(F.col("doc_id").alias(f"x{c}"), F.col("rep").alias(f"doc_id_{c}")) for c in "ab")
+    equal = a.join(b, F.col("doc_id_a") == F.col("doc_id_b")).where("xa < xb").select("xa", "xb", F.lit(1.0).alias("jaccard"))
+    wide = pairs.join(a, "doc_id_a").join(b, "doc_id_b").where("xa <> xb").select(F.least("xa", "xb").alias("xa"), F.greatest("xa", "xb").alias("xb"), "jaccard").unionByName(equal)
+    return wide.groupBy(F.col("xa").alias("doc_id_a"), F.col("xb").alias("doc_id_b")).agg(F.max("jaccard").alias("jaccard"))
+
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("other", pa.int64()), ("near", pa.binary())])
+
+
+def _as_lists(pairs):
+    """Of each node its packed neighbours, and of each part that hangs together the star of its least id."""
+    got = [(a, z) for a, z, _ in pairs]
+    if not got:
+        return
+    a, z = map(np.concatenate, zip(*got, strict=True))
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        up = top.setdefault(x, x)
+        while up != top[up]:
+            top[up] = up = top[top[up]]
+        top[x] = up
+        return up
+
+    for x, y in zip(a.tolist(), z.tolist(), strict=True):
+        x, y = root(x), root(y)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+    star = [(x, root(x)) for x in list(top)]
+    star = [(r, x) for x, r in star if r != x]
+    yield batch_of(FOUND, *zip(*star, strict=True), [None] * len(star))
+    own, near = np.append(a, z), np.append(z, a)
+    order = np.lexsort((near, own))
+    own, near = own[order], near[order]
+    r = K.runs(own)
+    for lo in range(0, len(r) - 1, 4096):
+        cut = r[lo : lo + 4097]
+        yield batch_of(FOUND, own[cut[:-1]], [None] * (len(cut) - 1), [zstandard.compress(squeeze(np.diff(near[i:j], prepend=np.int64(0))), 1) for i, j in zip(cut[:-1], cut[1:], strict=True)])
+
+
+def _count_near(batches):
+    """(doc_id, links) of rows sorted by doc_id: its distinct neighbours over all lists."""
+    out = pa.schema([("doc_id", pa.int64()), ("links", pa.int64())])
+    now, held, done = None, [], []
+    for b in batches:
+        for d, near in zip(b.column("doc_id").to_pylist(), b.column("near").to_pylist(), strict=True):
+            if d != now:
+                if held:
+                    done.append((now, len(np.unique(np.concatenate(held)))))
+                now, held = d, []
+            held.append(np.cumsum(unsqueeze(zstandard.decompress(near), np.int64)))
+        if done:
+            yield batch_of(out, *zip(*done, strict=True))
+            done = []
+    if held:
+        yield batch_of(out, [now], [len(np.unique(np.concatenate(held)))])
+
+
+def _classes(base: DataFrame, n: int, threshold: float, heavy_least: int) -> DataFrame:
+    found = census(base, n)
+    links = table(_compared(base, found, n, threshold, heavy_least, _as_lists, "doc_id long, other long, near binary"), "jaccard-links")
+    degree = links.where("near is not null").select("doc_id", "near").repartition(partitions(base.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(_count_near, "doc_id long, links long")
+    members = table(_members(found), "jaccard-members")
+    star = links.where("other is not null").select(F.col("doc_id").alias("doc_id_a"), F.col("other").alias("doc_id_b"))
+    twice = members.groupBy("doc_id").agg(F.min("rep").alias("doc_id_a"), F.max("rep").alias("last"), F.collect_set("rep").alias("reps")).where("doc_id_a < last")
+    bridge = twice.select("doc_id_a", F.explode("reps").alias("doc_id_b")).where("doc_id_a <> doc_id_b")  # rows that share an id hold their sets together
+    label = groups(star.unionByName(bridge)).select(F.col("doc_id").alias("rep"), "group")
+    nodes = label.join(degree.withColumnRenamed("doc_id", "rep"), "rep", "full")
+    wide = members.join(nodes, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("group", "rep")).alias("class_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"), (F.max("n") - 1).alias("copies"))
+    return wide.select("doc_id", "class_id", F.col("links").cast("long").alias("links"), "copies")
+
+
+def classes(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: int = 64) -> DataFrame:
+    """(doc_id, class_id, links, copies) of every document with an id."""
+    return _classes(texts(docs), n, threshold, heavy_least)
 
 
 def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -490,27 +612,40 @@ def groups(pairs: DataFrame) -> DataFrame:
             return now.select(F.col("x").alias("doc_id"), F.col("g").alias("group"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without all documents of a group but the one of the least id; rows that share an id stay or go together."""
-    gone = groups(similar(docs, **how)).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias("__granary_id"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__granary_id"), "left_anti")
+def keep_one(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: int = 64) -> DataFrame:
+    """docs without all rows of a class but one."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    key = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(text).bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)))  # after any id in use
+    base = docs.select(key.alias("doc_id"), text.alias("text"))
+    gone = _classes(base, n, threshold, heavy_least).where("class_id <> doc_id").select(F.col("doc_id").alias("__granary_id"))
+    kept = docs.join(gone, key == F.col("__granary_id"), "left_anti")
+    again = table(base.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias("__granary_id")), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    wide = kept.withColumn("__granary_key", key)
+    once = wide.join(again, F.col("__granary_key") == F.col("__granary_id"), "left_anti").drop("__granary_key")
+    first = Window.partitionBy("__granary_key").orderBy(F.desc("text"))
+    of = wide.join(again, F.col("__granary_key") == F.col("__granary_id"), "left_semi").withColumn("__granary_row", F.row_number().over(first)).where("__granary_row = 1")
+    return once.unionByName(of.drop("__granary_key", "__granary_row"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(read(spark, sf_dir, "documents"), threshold=0.8)  # as its SQL has it
+    return classes(read(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""
-WITH l AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS ws FROM documents),
+WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+'), lambda x: x <> '') AS ws FROM documents),
 w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM l WHERE len(ws) > 0),
 g AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt, n FROM w),
 t AS (SELECT DISTINCT doc_id, w || ' ' || coalesce(nxt, '') AS t FROM g WHERE nxt IS NOT NULL OR n = 1),
 k AS (SELECT doc_id, count(*) AS n, md5(string_agg(t, '|' ORDER BY t)) AS h FROM t GROUP BY doc_id),
-r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep FROM k),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM t AS a JOIN t AS b ON a.t = b.t AND a.doc_id < b.doc_id
-      WHERE a.doc_id IN (SELECT rep FROM r) AND b.doc_id IN (SELECT rep FROM r) GROUP BY ALL)
-SELECT rep AS doc_id_a, doc_id AS doc_id_b, 1.0::DOUBLE AS jaccard FROM r WHERE rep <> doc_id
-UNION ALL
-SELECT a, b, round(same / (x.n + y.n - same)::DOUBLE, 6) FROM i JOIN r AS x ON x.doc_id = a JOIN r AS y ON y.doc_id = b
-WHERE same / (x.n + y.n - same)::DOUBLE >= 0.8 - 1e-12
+r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY h) AS rep, count(*) OVER (PARTITION BY h) AS copies FROM k),
+o AS (SELECT t.* FROM t JOIN r USING (doc_id) WHERE r.rep = r.doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM o AS a JOIN o AS b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN r AS x ON x.doc_id = a JOIN r AS y ON y.doc_id = b WHERE same / (x.n + y.n - same)::DOUBLE >= 0.75 - 1e-12),
+reach AS (SELECT DISTINCT rep AS a, rep AS b FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+d AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, coalesce(c.class_id, doc_id) AS class_id, coalesce(d.links, 0)::BIGINT AS links, (coalesce(r.copies, 1) - 1)::BIGINT AS copies
+FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN c ON c.a = r.rep LEFT JOIN d ON d.a = r.rep
 """

@@ -43,8 +43,49 @@ def test_scores(odd, none):
 def test_similar(odd, none):
     got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in jaccard_join.similar(odd).collect()}
     assert got == {(1, 2): round(59 / 61, 6)}
-    assert {r["doc_id"] for r in jaccard_join.keep_one(odd).collect()} == {1, 3, 4, None, 5, 6, 7}
+    assert sorted(r["doc_id"] for r in jaccard_join.keep_one(odd).collect()) == [1, 3, 4, 5, 6, 7]
     assert jaccard_join.similar(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
+    assert {tuple(r) for r in jaccard_join.classes(odd).collect()} == {(1, 1, 1, 0), (2, 1, 1, 0), (3, 3, 0, 0), (4, 4, 0, 0), (5, 5, 0, 0), (6, 6, 0, 0), (7, 7, 0, 0)}
+    assert jaccard_join.classes(none).count() == 0
+
+
+def test_classes_against_all_pairs(spark):
+    """Groups of near copies, chains, copies of copies and an id with two texts: class, links and copies as counted one by one."""
+    rng, rows = np.random.default_rng(8), []
+    for g in range(6):
+        a = [f"g{g}w{i}" for i in range(40 + 9 * g)]
+        for k in range(12):
+            rows.append((len(rows), " ".join(a)))
+            if k % 3:
+                a = list(a)
+                for i in rng.choice(len(a), 1 + k % 2, replace=False):
+                    a[i] = f"g{g}n{k}x{i}"
+    rows += [(100 + i, rows[5][1]) for i in range(30)] + [(7, rows[7][1]), (7, rows[70][1]), (200, "one"), (201, "one"), (202, None), (None, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets: dict[int, set] = {}
+    for i, t in rows:
+        if i is not None:
+            w = (t or "").split()
+            sets.setdefault(i, set()).add(frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w))
+    alike = lambda x, y: bool(x and y) and len(x & y) / len(x | y) >= 0.75
+    pairs = {(i, j) for i in sets for j in sets if i < j and any(alike(x, y) for x in sets[i] for y in sets[j])}
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in jaccard_join.similar(docs, all_pairs=True).collect()}
+    assert got == pairs
+    least = {i: i for i in sets}
+    for _ in sets:
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+    found = {r["doc_id"]: r for r in jaccard_join.classes(docs).collect()}
+    assert {i: r["class_id"] for i, r in found.items()} == least
+    everything = {x for i in sets for x in sets[i]}
+    for i, r in found.items():
+        if i != 7:
+            (x,) = sets[i]
+            assert r["copies"] == sum(x in s for s in sets.values()) - 1 if x else r["copies"] == 0
+            others = {y for y in everything if y != x and alike(x, y)}
+            assert r["links"] == len(others), i
+    kept = [r["doc_id"] for r in jaccard_join.keep_one(docs).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted(set(least.values())) and None not in kept
 
 
 def test_no_pair_is_lost():
