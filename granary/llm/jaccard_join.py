@@ -374,7 +374,8 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
 
     labels = merged.where("part = 1").select("doc_id", "payload").mapInArrow(label, "doc_id long, label long").groupBy("doc_id").agg(F.min("label").alias("label"))
     keyed = merged.where("part = 0").select("doc_id", "payload").join(labels, "doc_id")
-    work = table(keyed.select(F.pmod(F.xxhash64("label"), F.lit(parts)).cast("int").alias("part"), "payload"), "jaccard-work")
+    spread = 4 * parts  # a task holds the sets of all that its lists name, several times the texts as sent
+    work = table(keyed.select(F.pmod(F.xxhash64("label"), F.lit(spread)).cast("int").alias("part"), "payload"), "jaccard-work")
     want = pa.schema([("part", pa.int32()), ("doc_id", pa.int64())])
 
     def members(batches):
@@ -417,7 +418,7 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
         if size:
             yield from emit(verified(ids, sets, np.concatenate(size), np.concatenate(doc), threshold))
 
-    return by_part(work, parts).mapInArrow(verify, kinds)
+    return by_part(work, spread).mapInArrow(verify, kinds)
 
 
 PAIR = pa.schema([("doc_id_a", pa.int64()), ("doc_id_b", pa.int64()), ("jaccard", pa.float64())])
