@@ -164,13 +164,13 @@ def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray)
             short = useful < spaces.needed(size[left], space, up)
             all_of = short & last  # the last resort
             keep = (tokens >= 2) | all_of[owner]
-            found.append((K.mix(total[keep] + salt[keep]), left[owner[keep]], np.full(int(keep.sum()), 1 - up)))
+            found.append((K.mix(total[keep] + salt[keep]), left[owner[keep]].astype(np.int32), np.full(int(keep.sum()), 1 - up, np.int8)))
             vary = deleted[owner] & ((tokens >= 3) | all_of[owner])
             if vary.any():  # each such segment without each of its tokens
                 t = np.repeat(np.arange(len(starts)), tokens)
                 mine = vary[t]
                 t = t[mine]
-                found.append((K.mix(total[t] - each[mine] + salt[t]), left[owner[t]], np.full(len(t), 1 - up)))
+                found.append((K.mix(total[t] - each[mine] + salt[t]), left[owner[t]].astype(np.int32), np.full(len(t), 1 - up, np.int8)))
             if all_of.any():
                 row = np.flatnonzero(all_of)
                 gaps = np.arange(int(m[row].max())) < m[row, None].astype(np.int64)
@@ -179,7 +179,7 @@ def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray)
                 hit = back[owner] >= 0
                 gaps[back[owner[hit]], which[hit].astype(np.int64)] = False
                 s, k = np.nonzero(gaps)
-                found.append((K.mix(_salt(space[row[s]], seed, k)), left[row[s]], np.full(len(s), 1 - up)))
+                found.append((K.mix(_salt(space[row[s]], seed, k)), left[row[s]].astype(np.int32), np.full(len(s), 1 - up, np.int8)))
             left = left[short]
     if not found:
         z = np.zeros(0, np.int64)
@@ -279,7 +279,7 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
     low = np.uint64((1 << (64 - min(62, 36 + int(parts).bit_length()))) - 1)
 
     def sign(batches):
-        for b in K.batches_by_bytes(batches, "text"):
+        for b in K.batches_by_bytes(batches, "text", 4 << 20):  # a signature takes several times the bytes it is sent as
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             v, at = token_sets(b.column("text"), n)
             some = np.flatnonzero(np.diff(at))
