@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import words
+from granary.functions import text as T
+
+SIGNALS = ("alpha_ratio", "unique_word_ratio", "average_word_length", "short_line_ratio")
+_NEXT = rf"(?:{T.LEVEL}++{T.SOLID}++)?"
+#: A line of one or two words, from break to break.
+_SHORT = rf"(?<![^{T.BREAK}]){T.LEVEL}*+{T.SOLID}++{_NEXT}{T.LEVEL}*+(?![^{T.BREAK}])"
+_FILLED = rf"{T.SOLID}[^{T.BREAK}]*+"
+
+
+def _clamp(c: Column, high: float = 1.0) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(high), c))
+
+
+def with_quality(df: DataFrame, text: str = "text") -> DataFrame:
+    """`df` with word_count, the four signals and quality_score, all rounded to 4 places.
+
+    A null, empty or wordless text scores 0 and has a word_count of 0 and null signals;
+    no row is dropped. The score is made of unrounded shares.
+    """
+    c = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("word_count", T.word_count(c).cast("int"))
+    n = F.col("word_count")
+    lines = F.greatest(F.regexp_count(c, F.lit(_FILLED)), F.lit(1))
+    raw = (
+        F.length(T.letters(c)) / F.greatest(F.length(c), F.lit(1)),
+        F.size(F.array_distinct(F.split(T.trim_all(T.casefold(c)), f"{T.SPACE}+"))) / n,
+        T.solid_length(c) / n,
+        F.regexp_count(c, F.lit(_SHORT)) / lines,
+    )
+    df = df.withColumns({f"__{k}": F.when(n > 0, x) for k, x in zip(SIGNALS, raw, strict=True)})
+    a, u, m, s = (F.col(f"__{k}") for k in SIGNALS)
+    score = 0.4 * _clamp((a - 0.35) / 0.4) + 0.3 * F.least(u / 0.5, F.lit(1.0)) + 0.2 * F.greatest(F.lit(0.0), 1 - F.abs(m - 6) / 12) + 0.1 * (1 - s)
+    out = df.withColumn("quality_score", F.when(n > 0, F.round(score, 4)).otherwise(F.lit(0.0)))
+    return out.withColumns({k: F.round(F.col(f"__{k}"), 4) for k in SIGNALS}).drop(*(f"__{k}" for k in SIGNALS))
+
+
+def is_good(threshold: float = 0.5) -> Column:
+    """The gate over the columns of `with_quality`: rounded values count; without words it is false."""
+    a, u, m, _ = map(F.col, SIGNALS)
+    return F.coalesce((F.col("quality_score") >= threshold) & (a >= 0.5) & (u >= 0.1) & m.between(2, 25), F.lit(False))
 
 
 def quality_signals(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, alpha, unique_words, mean_length, short_lines, quality); a wordless text scores 0."""
-    base = docs.select("doc_id", "text", words(F.col("text")).alias("ws"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"\s+", "") != "")
-    n = F.size("ws")
-    alpha = F.length(F.regexp_replace("text", r"[^\p{L}]", "")) / F.greatest(F.length("text"), F.lit(1))
-    unique = F.size(F.array_distinct(F.transform("ws", F.lower))) / n
-    mean = F.length(F.array_join("ws", "")) / n
-    short = F.size(F.filter(lines, lambda x: F.size(words(x)) < 3)) / F.greatest(F.size(lines), F.lit(1))
-    wide = base.where(n > 0).select("doc_id", n.alias("n_words"), alpha.alias("a"), unique.alias("u"), mean.alias("m"), short.alias("s"))
-    score = 0.4 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("a") - 0.35) / 0.4)) + 0.3 * F.least(F.col("u") / 0.5, F.lit(1.0)) + 0.2 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("m") - 6) / 12) + 0.1 * (1 - F.col("s"))
-    return wide.select("doc_id", "n_words", *(F.round(x, 4).alias(y) for x, y in (("a", "alpha"), ("u", "unique_words"), ("m", "mean_length"), ("s", "short_lines"))), F.round(score, 4).alias("quality"))
+    """(doc_id, word_count, the four signals, quality_score) of every row."""
+    return with_quality(docs.select("doc_id", "text")).drop("text")

@@ -1,55 +1,200 @@
-"""Column expressions over text; all run in the JVM, within whole-stage code generation."""
+"""Column expressions over text; all but `nfkc` run in the JVM.
+
+White space, letters and word characters are those of Unicode, spelled out as classes,
+because `\\s`, `\\d` and `\\w` of the JVM are ASCII. A null text gives null; an empty one
+gives an empty text and counts of 0.
+"""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
-VOWELS = "[aeıioöuüAEIİOÖUÜ]"
+#: The 29 characters that count as white space; line breaks are among them.
+BLANK = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BREAK = r"\n-\r\x1c-\x1e\x85\x{2028}\x{2029}"
+SPACE = f"[{BLANK}]"
+SOLID = f"[^{BLANK}]"
+LEVEL = f"[{BLANK}&&[^{BREAK}]]"  # white space within a line
+WORD = r"[\p{L}\p{N}_]"
+NUMERAL = r"\p{Nd}"
+ANYCASE = "(?iud)"
+VOWELS = "aeıioöuüAEIİOÖUÜ"
 
 
 def strip_html(c: Column) -> Column:
     """Tags go without a trace, entities become a space (hexadecimal ones stay)."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", ""), "&[a-zA-Z]+;", " "), "&#[0-9]+;", " ")
+    for pattern, by in (("<[^>]+>", ""), ("&[a-zA-Z]+;", " "), ("&#" + NUMERAL + "+;", " ")):
+        c = F.regexp_replace(c, pattern, by)
+    return c
+
+
+@pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Compatibility composition; texts that have it already are passed on as they are."""
+    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+
+
+def _boilerplate() -> list[str]:
+    gap, years = SPACE + "*", NUMERAL + "{4}"
+    spans = [f"{first}.*?{last}" for first, last in zip(("cookie", "çerez", "gizlilik"), ("kabul", "politika", "sözleşme"), strict=True)]
+    notices = ["tüm hakları saklıdır", "all rights reserved", f"©{gap}{years}"]
+    sharing = ["paylaş.*?(?:" + "|".join(("facebook", "twitter", "whatsapp")) + ")", f"yorum{gap}yap", rf"yorumlar{gap}\({NUMERAL}+\)"]
+    return spans + notices + sharing + ["reklam", "advertisement", "loading[.]{3}", gap.join(("devamını", "oku")), gap.join(("daha", "fazla", "göster"))]
+
+
+BOILERPLATE = [ANYCASE + p for p in _boilerplate()]
+_ANY_BOILERPLATE = ANYCASE + "|".join(f"(?:{p})" for p in _boilerplate())
+
+
+def strip_boilerplate(c: Column) -> Column:
+    """Stock phrases of web pages, taken out one rule after the other; a text that none fits skips the chain."""
+    out = c
+    for p in BOILERPLATE:
+        out = F.regexp_replace(out, p, "")
+    return F.when(F.regexp_like(c, F.lit(_ANY_BOILERPLATE)), out).otherwise(c)
+
+
+def trim_all(c: Column) -> Column:
+    """Without white space of any kind at either end; linear in the longest run."""
+    return F.regexp_replace(c, rf"\A{SPACE}++|(?<!{SPACE}){SPACE}++\z", "")
 
 
 def tidy_space(c: Column) -> Column:
-    """Three line feeds or more become two, then lines are trimmed and runs of blanks squeezed."""
-    lines = F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), "(?m)^[ \t\r\f\x0b]+|[ \t\r\f\x0b]+$", "")
-    return F.regexp_replace(F.regexp_replace(lines, "[ \t]+", " "), r"^\s+|\s+$", "")
+    """Three line feeds or more become two, then lines are trimmed, runs of blanks and tabs squeezed, and the whole trimmed."""
+    inner = f"[{BLANK}&&[^\\n]]"
+    c = F.regexp_replace(c, "\n{3,}", "\n\n")
+    c = F.regexp_replace(c, rf"(?<![^\n]){inner}++|(?<!{inner}){inner}++(?![^\n])", "")
+    return trim_all(F.regexp_replace(c, "[ \t]{2,}", " "))
+
+
+def squeeze(c: Column) -> Column:
+    return trim_all(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    return F.regexp_extract_all(c, F.lit(f"({SOLID}+)"), 1)
 
 
 def word_count(c: Column) -> Column:
-    return F.size(words(c))
+    return F.regexp_count(c, F.lit(f"{SOLID}++"))
+
+
+def letters(c: Column) -> Column:
+    """Only the letters."""
+    return F.regexp_replace(c, r"[^\p{L}]+", "")
+
+
+def solid_length(c: Column) -> Column:
+    """Characters that are no white space."""
+    return F.length(F.regexp_replace(c, f"{SPACE}+", ""))
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding as far as texts in NFKC need it: lower case, sharp s as two, final sigma as any."""
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def hash_form(c: Column) -> Column:
-    """Lower case, runs of white space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    """Case folded, runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(casefold(c), f"{SPACE}+", " "))
 
 
 def content_sha256(c: Column) -> Column:
     return F.sha2(hash_form(c), 256)
 
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
-IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\b"
+def word_tokens(c: Column) -> Column:
+    """Runs of letters, numbers and underscores of the hash form (combining marks divide)."""
+    return F.regexp_extract_all(hash_form(c), F.lit(f"({WORD}+)"), 1)
+
+
+def token_string(c: Column) -> Column:
+    """The same tokens as one string, a space between them."""
+    return F.trim(F.regexp_replace(casefold(c), r"[^\p{L}\p{N}_]+", " "))
+
+
+def shingles(c: Column, n: int) -> Column:
+    """All runs of n tokens as strings, in order and with repeats; none if there are fewer tokens."""
+    return F.expr("array()").cast("array<string>") if n < 1 else F.when(
+        F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), " "))
+    ).otherwise(F.array().cast("array<string>"))
+
+
+# Answers and prompts
+
+
+def answer_form(c: Column) -> Column:
+    """For comparing answers: NFKC, dotted and dotless i as Turkish has them, case folded, all but words as single spaces."""
+    turkish = F.translate(nfkc(c), "İI", "iı")
+    return F.trim(F.regexp_replace(casefold(turkish), r"[^\p{L}\p{N}_]+", " "))
+
+
+def roundtrip_form(c: Column) -> Column:
+    """NFKC with runs of white space as one space, trimmed."""
+    return squeeze(nfkc(c))
+
+
+def lexical_words(c: Column) -> Column:
+    """Words of letters (an apostrophe may join two parts) and runs of digits."""
+    return F.regexp_count(c, F.lit(rf"[\p{{L}}\p{{No}}\p{{Nl}}]++(?:['’][\p{{L}}\p{{No}}\p{{Nl}}]++)?|{NUMERAL}++"))
+
+
+def is_byte_piece(c: Column) -> Column:
+    return F.regexp_like(c, F.lit(r"\A<0x[0-9A-Fa-f]{2}>\z"))
+
+
+def common_prefix_length(a: Column, b: Column) -> Column:
+    """Characters that two texts begin with alike; halving finds it, so no text is walked character by character."""
+    low, high = F.lit(0), F.least(F.length(a), F.length(b))
+    start = F.struct(low.alias("lo"), high.alias("hi"))
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.expr("1").cast("int") + F.shiftright(s["lo"] + s["hi"], 1)
+        mid = F.least(mid, s["hi"])
+        same = F.left(a, mid) == F.left(b, mid)
+        return F.when(s["lo"] >= s["hi"], s).when(same, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), (mid - 1).alias("hi")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda s: s["lo"])
+
+
+def prefix_ratio(expected: Column, actual: Column) -> Column:
+    return common_prefix_length(expected, actual) / F.greatest(F.length(expected), F.lit(1))
+
+
+def leaked(expected: Column, actual: Column, threshold: float = 0.8) -> Column:
+    return (expected == actual) | (prefix_ratio(expected, actual) >= threshold)
+
+
+def matching_keywords(keywords: Column, text: Column) -> Column:
+    """Those of the keywords (answer forms) that the text (one too) contains."""
+    return F.filter(F.coalesce(keywords, F.array().cast("array<string>")), lambda k: F.contains(text, k))
+
+
+def reference_match(generated: Column, references: Column, mode: Column) -> Column:
+    """Exact: equal to one of the references. Otherwise: one of them, not empty, is contained."""
+    return F.when(mode == "exact", F.array_contains(references, generated)).otherwise(F.exists(references, lambda r: (r != "") & F.contains(generated, r)))
 
 
-def redact(c: Column) -> Column:
-    """E-mail addresses, then IPv4 addresses, replaced by their labels."""
-    return F.regexp_replace(F.regexp_replace(c, EMAIL, "<EMAIL>"), IPV4, "<IP_ADDRESS>")
+def long_context(filler: Column, needle: Column, question: Column, filler_tokens: Column, target: Column, position: Column, most: int = 2048) -> Column:
+    """The filler, as often as the target length takes, with the needle at a share of it (half repeats round to even)."""
+    wanted = F.greatest(F.lit(8), F.least(F.coalesce(target, F.lit(most - 96)), F.lit(max(8, most - 64))))
+    repeats = F.greatest(F.lit(1), F.ceil(wanted / F.greatest(filler_tokens, F.lit(1)))).cast("int")
+    before = F.bround(repeats * F.least(F.greatest(F.coalesce(position, F.lit(0.5)), F.lit(0.0)), F.lit(1.0))).cast("int")
+    context = F.concat(F.array_repeat(filler, before), F.array(needle), F.array_repeat(filler, repeats - before))
+    return F.concat(F.lit("Bağlam:\n"), F.array_join(context, " "), F.lit("\n\nSoru: "), question, F.lit("\nYanıt:"))
 
 
-def syllables(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(VOWELS))
+# URLs
 
 
-def last_vowel_class(c: Column) -> Column:
-    """0 back, 1 front, 2 without a vowel."""
-    last = F.regexp_extract(F.lower(c), "([aeıioöuü])[^aeıioöuü]*$", 1)
-    return F.when(last.isin(*"aıou"), 0).when(last.isin(*"eiöü"), 1).otherwise(2)
+def skipped_url(c: Column) -> Column:
+    """Addresses not worth a visit: files, accounts, administration, numbered listings."""
+    files = "|".join("jpg jpeg png gif svg ico css js woff ttf pdf zip rar".split())
+    rules = [rf".*\.(?:{files})\n?\z", *(f".*/{x}" for x in ("login", "register", "admin")), rf".*\?.*page={NUMERAL}+\n?\z"]
+    return F.regexp_like(c, F.lit(r"(?iud)\A(?:" + "|".join(rules) + ")"))
