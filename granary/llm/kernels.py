@@ -94,8 +94,10 @@ def hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, mode: str = "space", l
         lo, hi = a[0], b[-1]
         place = np.arange(hi - lo, dtype=np.int64)
         place -= np.repeat(a - lo, np.diff(np.append(a, hi)))
-        place &= 4095
         v = table.take(raw[lo:hi])
+        if (b - a).max() > len(_PLACE):  # places repeat after a block; blocks have weights of their own, the first 1
+            v *= np.where(place >= len(_PLACE), mix((place // len(_PLACE)).astype(np.uint64)) | np.uint64(1), np.uint64(1))
+        place %= len(_PLACE)
         v *= _PLACE.take(place)
         out[i : i + (1 << 14)] = mix(np.add.reduceat(v, a - lo) + (b - a).astype(np.uint64) * _B)
     return out
