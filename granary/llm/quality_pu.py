@@ -6,12 +6,15 @@ is estimated from the two (the least ratio of unlabelled to positive mass over
 top score bins). Scoring is one map over all documents, with no shuffle.
 
 The fit sees a bounded sample of each kind (`n_positive`, `n_unlabelled`: the rows
-with the smallest hashes of doc_id); half of it makes the word table, half the network.
+with the smallest hashes of doc_id, under another seed for each kind); half of it makes
+the word table, half the network. Where a half has fewer than `LEAST` rows of a kind, all
+rows make both.
 
 Defined results: a text that is null or has no word is rejected with score 0. A null
-doc_id is scored like any other. Repeated rows are scored each. Extra columns are
-passed on by `keep_good` and ignored by `quality_scores`. With no trusted positives
-or no documents there is nothing to learn from, and every text with a word is kept.
+doc_id is scored like any other. Repeated rows are scored each; in the sample, rows that
+share an id are one, of the greatest text. Extra columns are passed on by `keep_good` and
+ignored by `quality_scores`. With fewer than `LEAST` trusted positives or unlabelled
+documents in all there is too little to learn from, and every text with a word is kept.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 3, 6
 _CLASS[[ord(c) for c in ".,;:?'\"()-"]] = 4
 N_DENSE = 16
+LEAST = 8
 
 
 @dataclass
@@ -147,10 +151,13 @@ def fit(docs: DataFrame, labels: DataFrame, n_positive: int = 8000, n_unlabelled
     spark = docs.sparkSession
     base = texts(docs)
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rank = F.xxhash64("doc_id", F.lit(seed))
-    ids = good.orderBy(rank, "doc_id").limit(n_positive).withColumn("kind", F.lit(1)).unionByName(base.select("doc_id").orderBy(rank + 1, "doc_id").limit(n_unlabelled).withColumn("kind", F.lit(0)))
+    rank = lambda k: F.xxhash64("doc_id", F.lit(seed), F.lit(k))
+    positive = good.join(base.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(rank(1), "doc_id").limit(n_positive)
+    unlabelled = base.select("doc_id").distinct().orderBy(rank(0), "doc_id").limit(n_unlabelled)
+    ids = positive.withColumn("kind", F.lit(1)).unionByName(unlabelled.withColumn("kind", F.lit(0)))
     # at most n_positive + n_unlabelled ids, so a broadcast of bounded size
-    sample = table(base.join(F.broadcast(ids), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2))), "pu-sample")
+    drawn = base.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "kind").agg(F.max("text").alias("text"))
+    sample = table(drawn.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2))), "pu-sample")
 
     count_schema = pa.schema([("bucket", pa.int32()), ("p", pa.int32()), ("u", pa.int32())])
 
@@ -166,11 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, n_positive: int = 8000, n_unlabelled
         yield batch_of(count_schema, seen, both[1, seen], both[0, seen])
 
     halves = {r["half"]: (r["p"], r["u"]) for r in sample.groupBy("half").agg(F.sum("kind").alias("p"), F.sum(1 - F.col("kind")).alias("u")).collect()}
-    if any(min(halves.get(k, (0, 0))) < 8 for k in (0, 1)):
+    whole = [sum(halves.get(k, (0, 0))[i] for k in (0, 1)) for i in (0, 1)]
+    if min(whole) < LEAST:
         return None
-    n1, n0 = halves[0]
+    first, second = "half = 0", "half = 1"
+    if any(min(halves.get(k, (0, 0))) < LEAST for k in (0, 1)):
+        first, second = "true", "true"
+    n1, n0 = halves[0] if first == "half = 0" else whole
     odds = np.zeros(BUCKETS)
-    for r in sample.where("half = 0").select("text", "kind").mapInArrow(count, "bucket int, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toLocalIterator():
+    for r in sample.where(first).select("text", "kind").mapInArrow(count, "bucket int, p int, u int").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toLocalIterator():
         odds[r["bucket"]] = np.log((r["p"] / n1 + 4 / n1) / (r["u"] / n0 + 4 / n0))
 
     x, kind = [], []
@@ -181,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_positive: int = 8000, n_unlabelled
             f, n, _, _ = features(b.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(f), pa.list_(pa.float64())), b.column("kind").cast(pa.int32())], names=["x", "kind"])
 
-    for r in sample.where("half = 1").select("text", "kind").mapInArrow(dense, "x array<double>, kind int").toLocalIterator():
+    for r in sample.where(second).select("text", "kind").mapInArrow(dense, "x array<double>, kind int").toLocalIterator():
         x.append(r["x"])
         kind.append(r["kind"])
     x, kind = np.array(x), np.array(kind)
