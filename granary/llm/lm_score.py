@@ -15,7 +15,7 @@ corpus scored by its own counts back off.
 
 Defined results: one row per row of documents with an id: the number of words, the
 number of them scored by the full order, and the mean natural log score (null where a
-text is null or has no word). Rows without an id are left out; repeated rows count
+text is null or has no word). N-grams are told apart by 64-bit hashes. Rows without an id are left out; repeated rows count
 each, in the counts too; extra columns are ignored. Words are split at ASCII white
 space; case is kept.
 """
@@ -33,24 +33,21 @@ from granary.llm import kernels as K
 from granary.llm.common import batch_of, chunks, opened, partitions, read, totals_of, with_totals
 from granary.plans.lineage import table
 
+CHUNK = 12 << 20  # bytes of text whose n-grams are counted together before they are sent
 
-def _grams(h: np.ndarray, at: np.ndarray, n: int, low: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the n-grams that lie within a text, and the hashes of those but for the bits in `low`."""
+
+def _grams(h: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the n-grams that lie within a text, and their hashes."""
     g = K.grams(h, n)
     first = np.flatnonzero(K.within(at, n)[: len(g)])
-    return first, g[first] & ~low
-
-
-def spare_bits(parts: int) -> np.uint64:
-    """Hash bits that aren't needed: of those left, one n-gram in 10**9 shares its hash, at some millions a partition."""
-    return np.uint64((1 << (64 - min(64, 52 + int(parts).bit_length()))) - 1)
+    return first, g[first]
 
 
-def score_words(h: np.ndarray, at: np.ndarray, totals: list[np.ndarray], order: int, backoff: float, min_count: int, low: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def score_words(h: np.ndarray, at: np.ndarray, totals: list[np.ndarray], order: int, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per word: log score but for -log N, whether that is missing, whether the full order was used."""
     count = []  # by order: total of the n-gram that ends at the word, 0 without
     for n in range(1, order + 1):
-        first, g = _grams(h, at, n, low)
+        first, g = _grams(h, at, n)
         _, back = np.unique(g, return_inverse=True)
         c = np.zeros(len(h), np.float64)
         c[first + n - 1] = totals[n - 1][back]
@@ -74,11 +71,11 @@ def score_words(h: np.ndarray, at: np.ndarray, totals: list[np.ndarray], order:
 def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_count: int = 2) -> DataFrame:
     """(doc_id, words, full_order_words, score)."""
     n = partitions(docs.sparkSession)
-    low = spare_bits(n)
+    pieces = chunks(docs, CHUNK)
 
     def keys(batch):
         h, at = K.words(batch.column("text"))
-        return [np.unique(_grams(h, at, k, low)[1], return_counts=True) for k in range(1, order + 1)]
+        return [np.unique(_grams(h, at, k)[1], return_counts=True) for k in range(1, order + 1)]
 
     out = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("full_order_words", pa.int64()), ("part_score", pa.float64()), ("unigrams", pa.int64())])
 
@@ -87,12 +84,12 @@ def stupid_backoff(docs: DataFrame, order: int = 3, backoff: float = 0.4, min_co
             for blob, replies in zip(b.column("blob"), b.column("replies"), strict=True):
                 batch = opened(blob.as_py())
                 h, at = K.words(batch.column("text"))
-                s, plain, full = score_words(h, at, totals_of(replies.as_py(), order), order, backoff, min_count, low)
+                s, plain, full = score_words(h, at, totals_of(replies.as_py(), order), order, backoff, min_count)
                 doc, m = np.repeat(np.arange(batch.num_rows), np.diff(at)), batch.num_rows
                 by = lambda w: np.bincount(doc, w, m)
                 yield batch_of(out, batch.column("doc_id"), np.diff(at), by(full).astype(np.int64), by(s), by(plain).astype(np.int64))
 
-    parts = table(with_totals(chunks(docs), keys, n).mapInArrow(score, "doc_id long, words long, full_order_words long, part_score double, unigrams long"), "lm-parts")
+    parts = table(with_totals(pieces, keys, n).mapInArrow(score, "doc_id long, words long, full_order_words long, part_score double, unigrams long"), "lm-parts")
     size = parts.agg(F.sum("words").alias("total"))  # one row
     return parts.crossJoin(F.broadcast(size)).select("doc_id", "words", "full_order_words", F.when(F.col("words") > 0, F.round((F.col("part_score") - F.col("unigrams") * F.log("total")) / F.col("words"), 4)).alias("score"))
 
