@@ -2,12 +2,14 @@
 
 Texts are cut into cells of 32 words; a passage is two adjacent cells. Passages are
 TF-IDF rows over the words of the benchmark (words found in over `max_df` of all
-cells are left out; other words count in a passage's norm only). A distributed
+cells are left out). A distributed
 randomised SVD sketches Z = A'(A G) over all cells in one pass - tasks add up their
 share, blocks of Z are summed by a shuffle - and the benchmark items and passages
 are compared in the space of its leading directions. The items are rows of A as well,
-together as heavy as the corpus, or the directions would tell little of them. Passages whose benchmark words
-make up less than `share` of their norm can't reach the cosine and are passed over.
+together as heavy as the corpus, or the directions would tell little of them.
+A short item in a passage of many benchmark words is far from it in that space, so items of
+one cell or less are looked for by their rarest words as well: of miss + v of them, where
+miss is how many words a leak may lack, any leak has v, and passages with v are candidates.
 Words of an item that leaks into more than `max_df` of the cells lose their weight too; a
 piece of which half the words or more are left without is looked for by its words
 themselves: in passages that hold at least `cosine` of them (the cosine reported is then
@@ -23,8 +25,9 @@ Benchmarks go out in slices that end with the item at which they hold `slice_ite
 pieces; what a task is sent is bounded by that and the longest item, however large the benchmark is. Nothing of the documents is shuffled.
 
 Defined results: one row per (doc_id, item_id), at the best passage (greatest cover,
-then first). Null and empty texts or items match nothing; items of fewer than
-`min_words` words are skipped, as any text would hold them; rows without an id are
+then first; the cosine is 0 if only rare words led there). Null and empty texts or items match nothing; items of fewer than 8 words
+must stand word for word to be a leak; those of fewer than `min_words` are skipped, as any
+text would hold them; rows without an id are
 left out of `leaks` and judged like any other by `drop_leaks`; repeated rows are reported each; extra
 columns are ignored or passed on.
 """
@@ -42,6 +45,7 @@ from granary.llm import kernels as K
 from granary.llm.common import batch_of, by_part, read, texts
 
 CELL = 32
+LOOSE = 8  # words from which on a leak may lack some
 _BLOCKS = 16
 
 
@@ -113,14 +117,28 @@ class Benchmark:
                 bits[x] = bits.get(x, 0) | 1 << k
             self.masks.append(bits)
 
+    def rare_words(self, exact: float, df: np.ndarray) -> None:
+        """Of each item of a cell or less its rarest words: by word, the pieces it stands for, and the words each piece must have."""
+        self.need = np.zeros(len(self.pieces), np.int64)
+        pairs = []
+        for j, (k, _) in enumerate(self.pieces):
+            m = len(self.items[k])
+            if m <= CELL:
+                t = np.unique(np.searchsorted(self.vocabulary, self.items[k]))
+                miss = int((1 - exact) * m + 1e-9) if m >= LOOSE else 0
+                t = t[np.lexsort((t, df[t]))][: miss + max(3, m // 6)]
+                self.need[j] = max(1, len(t) - miss)
+                pairs += [(x, j) for x in t.tolist()]
+        x = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.rare_at = np.searchsorted(x[:, 0], np.arange(len(self.vocabulary) + 1))
+        self.rare_piece = x[:, 1].copy()
+
     def weigh(self, cells: int, df: np.ndarray, max_df: float) -> None:
         self.idf = np.log((cells + 1) / (df + 1.0)) + 1
         self.idf[df > max(max_df * cells, 2)] = 0.0  # a word in one or two cells is never common
         if not self.idf.any():
             self.idf = np.log((cells + 1) / (df + 1.0)) + 1
         self._without_weight()
-        used = self.idf[self.idf > 0]
-        self.other = float(np.mean(used)) if len(used) else 1.0
         for k, w in enumerate(self.items):
             if self.answers[k] is None or not len(self.answers[k]):
                 t = np.unique(w)
@@ -147,7 +165,7 @@ class Benchmark:
         return q * self.idf
 
 
-def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, seed: int) -> None:
+def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, exact: float, seed: int) -> None:
     """Weights and leading directions, from all documents."""
     vocabulary, m = bench.vocabulary, len(bench.vocabulary)
     schema = pa.schema([("term", pa.int32()), ("n", pa.int64())])
@@ -165,7 +183,9 @@ def _fit(base: DataFrame, bench: Benchmark, rank: int, max_df: float, seed: int)
         yield batch_of(schema, np.append(-1, seen), np.append(cells, df[seen]))
 
     found = {r["term"]: r["n"] for r in base.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    bench.weigh(found.get(-1, 0), np.array([found.get(i, 0) for i in range(m)], float), max_df)
+    df = np.array([found.get(i, 0) for i in range(m)], float)
+    bench.weigh(found.get(-1, 0), df, max_df)
+    bench.rare_words(exact, df)
 
     width = min(rank + 8, m)
     start = np.random.default_rng(seed).normal(size=(m, width)).astype(np.float32)
@@ -230,6 +250,9 @@ def _cover(bench: Benchmark, k: int, words: np.ndarray, start: int, how: dict) -
     text = words[max(0, start - room) : max(0, start + max(m, 2 * CELL) + room)].tolist()
     if sum(map(bench.masks[k].__contains__, text)) < how["paraphrase"] * m:
         return 0.0  # too few words of the item for any such subsequence
+    if m < LOOSE:
+        own = bench.items[k].tolist()
+        return float(any(text[i : i + m] == own for i in range(len(text) - m + 1)))
     cover = lcs(bench.masks[k], m, text) / m
     return cover if cover >= how["exact"] or (cover >= how["paraphrase"] and np.isin(bench.answers[k], text).mean() >= 0.8) else 0.0
 
@@ -252,6 +275,24 @@ def _by_words(bench: Benchmark, cell: np.ndarray, term: np.ndarray, nxt: np.ndar
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
+def _by_rare_words(bench: Benchmark, cell: np.ndarray, term: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, piece) where a passage has as many of a piece's rarest words as any leak of it has."""
+    mine = bench.rare_at[term + 1] > bench.rare_at[term]
+    cell, term, n, m = cell[mine], term[mine], len(bench.vocabulary), len(bench.pieces)
+    pair = np.unique(cell * n + term)
+    if not len(pair):
+        return pair, pair
+    cell, term = pair // n, pair % n
+    second = (cell > 0) & nxt[cell - 1]  # words of the second cell of a passage
+    pair = np.unique(np.append(pair, (cell[second] - 1) * n + term[second]))
+    passage, term = pair // n, pair % n
+    times = bench.rare_at[term + 1] - bench.rare_at[term]
+    post = np.repeat(bench.rare_at[term] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+    both, votes = np.unique(np.repeat(passage, times) * m + bench.rare_piece[post], return_counts=True)
+    ok = votes >= bench.need[both % m]
+    return both[ok] // m, both[ok] % m
+
+
 def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float, float]]:
     """(text, item, start word, cover, cosine) of each leak, the best passage of a pair."""
     h, at = K.words(column, "punct", lower=True)
@@ -262,18 +303,13 @@ def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float
         return []
     w = bench.idf[term]
     cell = _cell_of(at, cells, hit)
-    size = np.zeros(n)  # words of each cell
     doc_of = np.repeat(np.arange(len(at) - 1), np.diff(cells))
     place = np.arange(n) - cells[doc_of]
-    size = np.minimum(CELL, np.diff(at)[doc_of] - place * CELL)
     own = np.bincount(cell, w * w, n)
-    other = (size - np.bincount(cell, minlength=n)) * bench.other**2
     nxt = np.append(doc_of[1:] == doc_of[:-1], False) if n else np.zeros(0, bool)
-    own2, other2 = own.copy(), other.copy()
+    own2 = own.copy()
     own2[nxt] += own[1:][nxt[:-1]]
-    other2[nxt] += other[1:][nxt[:-1]]
-    live = np.flatnonzero(own2 >= how["share"] ** 2 * (own2 + other2) - 1e-12)
-    live = live[own2[live] > 0]
+    live = np.flatnonzero(own2 > 0)
     need = np.zeros(n + 1, bool)
     need[live] = True
     need[1:] |= need[:-1] & nxt
@@ -304,6 +340,8 @@ def find(bench: Benchmark, column, how: dict) -> list[tuple[int, int, int, float
         cos = p[lo : lo + 4096] @ bench.latent.T
         i, j = np.nonzero(cos >= how["cosine"])
         look(live[lo + i], j, cos[i, j])
+    rare = _by_rare_words(bench, cell, term, nxt)
+    look(*rare, np.zeros(len(rare[0])))
     if len(bench.bare):
         look(*_by_words(bench, cell, term, nxt, how["cosine"]))
     return [(d, int(bench.ids[k]), s, -c, -x) for (d, k), (c, s, x) in sorted(best.items())]
@@ -317,7 +355,7 @@ def _slices(docs: DataFrame, benchmark: DataFrame, how: dict) -> list:
     def add():
         b = Benchmark(now, how["min_words"])
         if len(b.ids):
-            _fit(base, b, how["rank"], how["max_df"], how["seed"])
+            _fit(base, b, how["rank"], how["max_df"], how["exact"], how["seed"])
             out.append(docs.sparkSession.sparkContext.broadcast(b))
 
     pieces = 0
@@ -332,7 +370,7 @@ def _slices(docs: DataFrame, benchmark: DataFrame, how: dict) -> list:
     return out
 
 
-DEFAULTS = {"rank": 256, "max_df": 0.05, "share": 0.4, "cosine": 0.5, "exact": 0.7, "paraphrase": 0.5, "min_words": 8, "slice_items": 1000, "seed": 3}
+DEFAULTS = {"rank": 256, "max_df": 0.05, "cosine": 0.5, "exact": 0.7, "paraphrase": 0.5, "min_words": 5, "slice_items": 1000, "seed": 3}
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
