@@ -2,7 +2,8 @@
 
 Each licence template is a short run of words with mandatory key phrases. Its
 *anchors* are its words of highest IDF (document frequencies come from all
-documents). A file's anchor words are looked up in the index, every posting votes
+documents). Of a file, all words that are anchors are looked up in the index - its rarest
+licence words and, as no number of them is fixed, the less rare too -, every posting votes
 for (template, start = place in the file - place in the template), and starts that
 gather enough votes are verified: at least `coverage` of the template's words stand
 at their places and every key phrase occurs there. A template of n words has
@@ -26,27 +27,7 @@ from pyspark.sql import functions as F
 
 from granary.llm import kernels as K
 from granary.llm.common import batch_of, read, texts
-
-#: (licence, template, mandatory key phrases); standard public notices.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License.", ["mit license"]),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted", "free of charge"]),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ["apache license", "version 2 0"]),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ["gnu general public license", "version 3"]),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2.", ["gnu general public license", "version 2"]),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3.", ["gnu lesser general public license"]),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", ["gnu affero general public license"]),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ["cc by nc 4 0"]),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0.", ["cc by 4 0"]),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ["cc by sa 4 0"]),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ["creative commons attribution 4 0"]),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mozilla public license"]),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["redistribution and use", "source and binary forms"]),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify", "with or without fee"]),
-    ("Unlicense", "This is free and unencumbered software released into the public domain.", ["unencumbered software", "public domain"]),
-    ("all-rights-reserved", "Copyright. All rights reserved.", ["all rights reserved"]),
-]
-
+from granary.llm.licenses import TEMPLATES
 
 def _words(text: str) -> np.ndarray:
     return K.words(pa.array([text]), "punct", lower=True)[0]
