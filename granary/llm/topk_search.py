@@ -1,19 +1,23 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Queries and documents are sparse BM25 rows. For each block of documents, term after
-term, the query rows that hold the term scatter weight products over the term's
-postings into a dense array (queries x documents of the block). The k best of each
-row are selected by partition, kept per task, and merged. Nothing is skipped, so the
-result is the one of brute force. Statistics (document count, mean length, document
-frequencies) come from all documents; only counts of query terms travel.
+term, the query rows that hold the term scatter weight products over the term's postings
+into a dense array (queries x documents of the block); terms that are common on both
+sides are accumulated together, as a product of their two dense strips, which adds the
+same numbers. The best of each row are selected by partition: a score counts if it is no
+less than the k-th best that the row has so far. Each task keeps k a row, and rows are
+merged by query. Nothing is skipped, so the result is the one of brute force. Statistics
+(document count, mean length, document frequencies) come from all documents; only counts
+of query terms travel.
 
 Queries go out in slices of at most `slice_terms` query words, so what is sent to
-the tasks is bounded however many queries there are.
+the tasks is bounded however many queries there are; a slice is a pass over the documents.
 
 Defined results: scores are rounded to 6 places, then ties go to the lower doc_id;
 only scores above zero count, so a query without words or hits has no rows. Rows
 without an id (of either table) are left out, repeated rows each count, null and
-empty texts match nothing, extra columns are ignored.
+empty texts match nothing, extra columns are ignored. A document that is a query finds
+itself like any other.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from granary.llm import kernels as K
 from granary.llm.common import batch_of, read, texts
 
+COMMON = 0.1  # share of the queries and of a block's documents from which on a term is accumulated in strips
+
 
 def _terms(vocabulary: np.ndarray, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, text, count) of query terms in the texts, by term; and the length of each text."""
@@ -41,15 +47,64 @@ def _terms(vocabulary: np.ndarray, column) -> tuple[np.ndarray, np.ndarray, np.n
     return pair // n, pair % n, count, np.diff(at)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k highest scores above zero of a row, ties to the lower id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = np.flatnonzero((scores >= least) & (scores > 0))
-    else:
-        keep = np.flatnonzero(scores > 0)
-    keep = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-    return scores[keep], ids[keep]
+class Best:
+    """The k best (score, document) of every query row, in the order of score, then lower id."""
+
+    def __init__(self, rows: int, k: int):
+        self.k, self.floor = k, np.full(rows, 4e-7)
+        self.row, self.score, self.doc = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, lo: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Takes in the scores of query rows from `lo` on for a block of documents."""
+        n = scores.shape[1]
+        floor = self.floor[lo : lo + len(scores)]
+        new = floor <= 1e-6
+        if n > self.k and new.any():
+            floor[new] = np.maximum(floor[new], np.partition(scores[new], n - self.k, axis=1)[:, n - self.k] - 2e-6)
+        q, d = np.nonzero(scores >= floor[:, None])
+        if not len(q):
+            return
+        s = np.round(scores[q, d], 6)
+        q, d, s = q[s > 0] + lo, ids[d[s > 0]], s[s > 0]
+        mine = (self.row >= lo) & (self.row < lo + len(scores))
+        q, d, s = np.append(self.row[mine], q), np.append(self.doc[mine], d), np.append(self.score[mine], s)
+        order = np.lexsort((d, -s, q))
+        q, d, s = q[order], d[order], s[order]
+        r = K.runs(q)
+        rank = np.arange(len(q)) - np.repeat(r[:-1], np.diff(r))
+        keep = rank < self.k
+        full = q[rank == self.k - 1]
+        self.floor[full] = np.maximum(self.floor[full], s[rank == self.k - 1] - 2e-6)  # rounded scores may tie with it
+        self.row, self.doc, self.score = (np.append(x[~mine], y[keep]) for x, y in ((self.row, q), (self.doc, d), (self.score, s)))
+
+
+def _accumulate(scores, lo, term, doc, w, query, times, first, dense):
+    """Adds a block's postings (term, doc, w), sorted by term, to the rows lo... of `scores`."""
+    hi = lo + len(scores)
+    r = K.runs(term)
+    tokens, begin, end = term[r[:-1]], r[:-1], r[1:]
+    strip = dense[tokens] & (end - begin > scores.shape[1] * COMMON)
+    if strip.any():
+        t = tokens[strip]
+        left, right = np.zeros((len(scores), len(t))), np.zeros((len(t), scores.shape[1]))
+        for i, (x, a, z) in enumerate(zip(t.tolist(), begin[strip].tolist(), end[strip].tolist(), strict=True)):
+            right[i, doc[a:z]] = w[a:z]
+            q = query[first[x] : first[x + 1]]
+            mine = (q >= lo) & (q < hi)
+            left[q[mine] - lo, i] = times[first[x] : first[x + 1]][mine]
+        scores += left @ right
+    for x, a, z in zip(tokens[~strip].tolist(), begin[~strip].tolist(), end[~strip].tolist(), strict=True):
+        q = query[first[x] : first[x + 1]]
+        i, j = np.searchsorted(q, lo), np.searchsorted(q, hi)
+        if i == j:
+            continue
+        f = times[first[x] : first[x + 1]][i:j]
+        if j - i <= z - a:
+            for row, c in zip((q[i:j] - lo).tolist(), f.tolist(), strict=True):
+                scores[row, doc[a:z]] += c * w[a:z]
+        else:
+            for d, v in zip(doc[a:z].tolist(), w[a:z].tolist(), strict=True):
+                scores[q[i:j] - lo, d] += f * v
 
 
 def _search(base: DataFrame, rows: list, k: int, k1: float, b: float) -> DataFrame:
@@ -65,7 +120,8 @@ def _search(base: DataFrame, rows: list, k: int, k1: float, b: float) -> DataFra
             t, _, _, length = _terms(vocabulary, part.column("text"))
             df += np.bincount(t, minlength=len(vocabulary))
             n, words = n + part.num_rows, words + int(length.sum())
-        yield batch_of(schema, np.arange(-1, len(vocabulary)), np.append(n, df), np.append(words, 0 * df))
+        seen = np.flatnonzero(df)
+        yield batch_of(schema, np.append(-1, seen), np.append(n, df[seen]), np.append(words, 0 * seen))
 
     found = {r["term"]: (r["n"], r["words"]) for r in base.mapInArrow(count, "term int, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()}
     n, words = found.get(-1, (0, 0))
@@ -78,29 +134,19 @@ def _search(base: DataFrame, rows: list, k: int, k1: float, b: float) -> DataFra
 
     def run(batches):
         vocabulary, idf, query, times, first, ids = shared.value
-        top = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
-        for part in K.batches_by_bytes(batches, "text", 2 << 20):
+        dense = np.diff(first) > len(ids) * COMMON
+        best = Best(len(ids), k)
+        for part in K.batches_by_bytes(batches, "text", 4 << 20):
             t, d, tf, length = _terms(vocabulary, part.column("text"))
             names = part.column("doc_id").to_numpy(zero_copy_only=False)
             w = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / mean))
-            r = K.runs(t)
-            rows_at_once = max(1, (64 << 20) // (8 * max(1, part.num_rows)))
+            rows_at_once = max(1, (32 << 20) // (8 * max(1, part.num_rows)))
             for lo in range(0, len(ids), rows_at_once):
                 scores = np.zeros((min(rows_at_once, len(ids) - lo), part.num_rows))
-                for i, j in zip(r[:-1], r[1:], strict=True):
-                    a, z = first[t[i]], first[t[i] + 1]
-                    q = query[a:z] - lo
-                    mine = (q >= 0) & (q < len(scores))
-                    scores[np.ix_(q[mine], d[i:j])] += times[a:z][mine, None] * w[None, i:j]
-                scores = np.round(scores, 6)
-                for q in range(len(scores)):
-                    s, i = _best(scores[q], names, k)
-                    if len(s):
-                        have = top[lo + q]
-                        top[lo + q] = _best(np.append(have[0], s), np.append(have[1], i), k)
-        sizes = [len(s) for s, _ in top]
-        if sum(sizes):
-            yield batch_of(out, np.repeat(ids, sizes), np.concatenate([i for _, i in top]), np.concatenate([s for s, _ in top]))
+                _accumulate(scores, lo, t, d, w, query, times, first, dense)
+                best.add(lo, scores, names)
+        if len(best.row):
+            yield batch_of(out, ids[best.row], best.doc, best.score)
 
     return base.mapInArrow(run, "query_id long, doc_id long, score double")
 
@@ -125,7 +171,9 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 10, query_id: str = "ite
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"))
+    """Every document whose id is divisible by 20 as a query, against all documents."""
+    docs = read(spark, sf_dir, "documents")
+    return top_k(docs.where("doc_id % 20 = 0"), docs, query_id="doc_id")
 
 
 ORACLE = r"""
@@ -133,10 +181,10 @@ WITH dw AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[\x00-\x2f\x3
 d AS (SELECT doc_id, w, count(*) AS tf FROM dw WHERE w <> '' GROUP BY ALL),
 len AS (SELECT doc_id, sum(tf) AS n FROM d GROUP BY doc_id),
 stat AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(n) FROM len)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
-q AS (SELECT item_id, w, count(*) AS qtf FROM (SELECT item_id, unnest(string_split_regex(lower(text), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+')) AS w FROM benchmark) WHERE w <> '' GROUP BY ALL),
+q AS (SELECT doc_id AS query_id, w, tf AS qtf FROM d WHERE doc_id % 20 = 0),
 idf AS (SELECT w, ln(1 + (stat.n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM d, stat GROUP BY w, stat.n),
-s AS (SELECT q.item_id, d.doc_id, round(sum(q.qtf * idf.idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len.n / stat.mean))), 6) AS score
-      FROM q JOIN d USING (w) JOIN idf USING (w) JOIN len ON len.doc_id = d.doc_id, stat GROUP BY q.item_id, d.doc_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
-SELECT item_id AS query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+s AS (SELECT q.query_id, d.doc_id, round(sum(q.qtf * idf.idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * len.n / stat.mean))), 6) AS score
+      FROM q JOIN d USING (w) JOIN idf USING (w) JOIN len ON len.doc_id = d.doc_id, stat GROUP BY q.query_id, d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
 """
