@@ -9,7 +9,7 @@ contradict each other.
 
 The trees are trained on a bounded sample of pages (`n_pages`, least hashes of
 page_id) whose nodes are labelled by semantic HTML: what lies in article or main is
-content; nav, header, footer, aside, forms and advertising blocks are not. The names
+content, what lies beside them is not, nor are nav, header, footer, aside and forms. The names
 of those elements are hidden from the features, so the trees also judge pages without.
 
 Defined results: one row per page with an id; null, empty and tagless html give the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,6 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES_P = frozenset("p div ul ol li table section article aside header footer nav h1 h2 h3 h4 h5 h6 blockquote pre form main".split())
 BLOCK = CLOSES_P | frozenset("body html td th tr dd dt figure figcaption title br".split())
 CONTENT, BOILER = frozenset(("article", "main")), frozenset(("head", "title", "nav", "header", "footer", "aside", "form", "button"))
-_AD = re.compile(r"(?:^|[-_ ])(?:ads?|advert\w*|banner|cookie\w*|sidebar|menu|share|social|promo|comments?)(?:$|[-_ ])", re.I)
 _KIND = {t: k + 1 for k, ts in enumerate((("p", "blockquote", "pre"), ("div", "section", "body", "html"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl", "table"), ("li", "td", "th", "tr", "dd", "dt"), ("a",), ("b", "i", "em", "strong", "span"))) for t in ts}
 N_ATTR = 256
 N_FEATURES = 20
@@ -52,7 +52,7 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.tag, self.attrs, self.texts = [-1], ["#root"], [""], []
         self.last = [0]
-        stack = [0]
+        stack, depth = [0], Counter()  # open elements, and how many of each name
         for m in _TOKEN.finditer(html):
             token = m.group(0)
             if token[0] != "<" or len(token) == 1:
@@ -62,14 +62,18 @@ class Page:
             elif m.group(3):
                 tag = m.group(3).lower()
                 if m.group(2):
+                    if not depth[tag]:
+                        continue
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[k]] == tag:
                             for n in stack[k:]:
                                 self.last[n] = len(self.tag)
+                                depth[self.tag[n]] -= 1
                             del stack[k:]
                             break
                 else:
-                    while tag in CLOSES_P and len(stack) > 1 and self.tag[stack[-1]] in ("p", "b", "i", "a", "span", "em", "strong") and any(self.tag[n] == "p" for n in stack):
+                    while tag in CLOSES_P and len(stack) > 1 and self.tag[stack[-1]] in ("p", "b", "i", "a", "span", "em", "strong") and depth["p"]:
+                        depth[self.tag[stack[-1]]] -= 1
                         self.last[stack.pop()] = len(self.tag)
                     node = len(self.tag)
                     self.parent.append(stack[-1])
@@ -79,15 +83,28 @@ class Page:
                     self.last.append(node + 1)
                     if tag not in VOID and not rest.endswith("/"):
                         stack.append(node)
+                        depth[tag] += 1
         for n in stack:
             self.last[n] = len(self.tag)
 
     def labels(self) -> np.ndarray:
-        """1 content, 0 boilerplate, -1 unknown or mixed."""
+        """1 content, 0 boilerplate, -1 unknown or mixed.
+
+        Where a page has a content element, all that is neither in it nor around it is
+        boilerplate; elsewhere only what stands in elements of that kind is.
+        """
         y = np.full(len(self.tag), -1)
+        around = np.zeros(len(self.tag), bool)
         for n in range(1, len(self.tag)):
             t = self.tag[n]
-            y[n] = 0 if t in BOILER or (self.attrs[n] and _AD.search(self.attrs[n])) else 1 if t in CONTENT else y[self.parent[n]]
+            y[n] = 0 if t in BOILER else 1 if t in CONTENT else y[self.parent[n]]
+            if t in CONTENT:
+                up = self.parent[n]
+                while up >= 0 and not around[up]:
+                    around[up] = True
+                    up = self.parent[up]
+        if around.any():
+            y[1:][(y[1:] < 0) & ~around[1:]] = 0
         return y
 
 
@@ -298,7 +315,7 @@ class Model:
 
 def fit(pages: DataFrame, n_pages: int = 500, seed: int = 11) -> Model:
     ids = pages.where("page_id is not null and html is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(n_pages)
-    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").where("html is not null").collect()  # n_pages pages at most, but for repeated ids
+    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.max("html").alias("html")).collect()  # n_pages pages at most
     return Model(sorted({r["html"] for r in rows}))
 
 
