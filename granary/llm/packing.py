@@ -100,7 +100,7 @@ class _Bins:
         return b
 
 
-def pack(lengths: np.ndarray, capacity: int, classes: int = 16, large: float = 0.125, unit: int | None = None) -> np.ndarray:
+def pack(lengths: np.ndarray, capacity: int, classes: int = 48, large: float = 0.125, unit: int | None = None) -> np.ndarray:
     """Bin of each length (all from 1 to capacity)."""
     unit = unit or max(1, capacity // 256)
     order = np.argsort(-lengths, kind="stable")
@@ -131,7 +131,7 @@ def pack(lengths: np.ndarray, capacity: int, classes: int = 16, large: float = 0
     return at
 
 
-def pack_documents(docs: DataFrame, capacity: int = 4096, group_docs: int = 40_000, classes: int = 16, large: float = 0.125, length_col: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 4096, group_docs: int = 40_000, classes: int = 48, large: float = 0.125, length_col: str | None = None) -> DataFrame:
     """(bin_group, bin_id, doc_id, chunk, doc_start, length, bin_start): each piece of a document and its place."""
     spark = docs.sparkSession
     if length_col is None:
