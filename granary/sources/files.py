@@ -75,7 +75,7 @@ def analysis_documents(spark: SparkSession, path: str, most: int | None = None)
     stem = F.regexp_replace("file", r"\.[^.]*\z", "")
     fields = "text string, domain string"
     rows = [jsonl(spark, path, fields, "raise").select("file", "ord", "text", "domain"), _text_lines(spark, path).withColumn("domain", F.lit(None).cast("string"))]
-    whole = spark.read.option("pathGlobFilter", "*.json").option("wholetext", "true").text(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value"))
+    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value"))
     items = F.coalesce(F.from_json("value", f"array<struct<{_typed(fields)}>>"), F.from_json("value", f"documents array<struct<{_typed(fields)}>>")["documents"])
     rows.append(whole.select("file", F.posexplode(items).alias("i", "d")).select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("i").cast("long").alias("row")).alias("ord"), "d.*"))
     out = reduce(DataFrame.unionByName, rows).where(T.word_count(F.col("text")) > 0).withColumn("domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), stem, F.lit("unknown")))
@@ -195,7 +195,7 @@ def samples(spark: SparkSession, path: str, most: int | None = None) -> DataFram
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(token_id, piece, score) of lines `piece<TAB>score`; ids are row numbers, so the file is read as one."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)).alias("token_id", "row"))
     cut = F.split("row", "\t", -1)
     return rows.select("token_id", cut[0].alias("piece"), F.expr("try_cast(try_element_at(split(row, '\t', -1), 2) as double)").alias("score"))
