@@ -1,21 +1,24 @@
 """Exact self-join of documents on the Jaccard similarity of their word n-gram sets.
 
 Universe-partition pigeonhole: two sets of a size band whose similarity is at least
-`threshold` differ in at most H tokens, so of m > H segments of the token universe at
-least m - H are equal in both. A set is compared in the space of its own size band and,
-as the smaller one, in the next; each space has its own H and m.
+`threshold` differ in at most H tokens, each in one of m segments of the token universe.
+An equal segment is found by its hash, and one that differs in a token by the hashes of
+what is left without each of its tokens, its one-deletion neighbourhood. A segment that
+is indexed as it is weighs 1, one with its neighbourhood too weighs 2: if the weights of a
+set's segments exceed H, some segment has fewer differences than its weight and is found.
+A set is compared in the space of its own size band and, as the smaller one, in the next;
+each space has its own H, m and d, the number of segments with neighbourhoods.
 
 Allocation by cost: an equal segment of a token or none tells little, as many sets have
-it, so only segments of two tokens or more are indexed, and m is the least number for
-which a set can be expected to have over H of those. Tokens found in very many documents
-(a fixed-size count table over all documents says which) share segment 0; the others are
-spread by hash. Where segments would hold too few tokens or m can't be found, half as
-many segments are indexed with their one-deletion neighbourhoods, as one of them differs
-in at most one token; `allocation` weighs both by signatures and chance meetings.
-A set that has too few segments to be sure is indexed by further partitions of the
+it, so only segments of two tokens or more are indexed, and weigh anything; a segment needs
+three for its neighbourhood. `allocation` takes the m and d of least cost, in signatures and
+chance meetings, for which a set can be expected to weigh enough. Tokens found in very many
+documents (a fixed-size count table over all documents says which) share segment 0; the others
+are spread by hash.
+A set that weighs too little to be sure is indexed by further partitions of the
 universe too (all tokens spread alike). A pair could only be missed where *both* are
 short, and then both are in the next partition; sets that are short in all partitions
-index segments of one token and none as well. So no pair is lost.
+index segments of one token and none as well, m + d of them at least H + 1 in weight. So no pair is lost.
 
 The list of documents that share a signature goes to the partition of its least id, together with their
 texts, where similarities are computed from whole sets.
@@ -86,42 +89,47 @@ class Spaces:
             high.append(max(high[-1] + 1, int(high[-1] / threshold + 1e-9)))
         self.threshold, self.high = threshold, np.array(high)
         self.differ = (1 - threshold) / (1 + threshold)  # of the two sizes added up
-        self.segments, self.deletions = (np.array(x) for x in zip(*(allocation(h, self.differ, threshold) for h in high), strict=True))
+        self.segments, self.varied = (np.array(x) for x in zip(*(allocation(h, self.differ, threshold) for h in high), strict=True))
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.high, size)
 
     def needed(self, size: np.ndarray, space: np.ndarray, up: int) -> np.ndarray:
-        """Segments of use that a set must have to be sure to meet all its partners in the space."""
+        """Weight that a set must have to be sure to meet all its partners in the space."""
         other = np.minimum(self.high[space], np.floor(size / self.threshold + 1e-9)) if up else size
-        differ = np.floor(self.differ * (size + other) + 1e-9).astype(np.int64)
-        return np.where(self.deletions[space], differ // 2, differ) + 1
+        return np.floor(self.differ * (size + other) + 1e-9).astype(np.int64) + 1
 
 
-def allocation(high: int, differ: float, threshold: float, share: float = 0.02, others: float = 1e4) -> tuple[int, bool]:
-    """(segments, whether one-deletion neighbourhoods are indexed) at least cost.
+def allocation(high: int, differ: float, threshold: float, share: float = 0.02, others: float = 1e4) -> tuple[int, int]:
+    """(segments, how many of them with neighbourhoods) at least cost.
 
     The cost of a signature is itself and the sets it meets by chance: of `others`, those
-    that have all its tokens, each with the chance `share`.
+    that have all its tokens, each with the chance `share`. Tokens of a segment are taken
+    to be Poisson; the least, middle and greatest sets of the band and of the one below
+    must weigh enough, with a margin of one and a half standard deviations.
     """
-
-    def plan(deleted: int) -> tuple[float, int]:
-        need = int(2 * differ * high + 1e-9) // (1 + deleted) + 1
-        best = (np.inf, -np.inf, need)
-        for m in sorted({need, *np.linspace(need, 4 * need + 4, 60).astype(int).tolist()}):
-            slack = np.inf
-            for x in (threshold, (1 + threshold) / 2, 1.0):
-                mean, least = x * high / m, int(2 * differ * x * high + 1e-9) // (1 + deleted) + 1
-                few = float(np.exp(-mean) * sum(mean**k / (1, 1, 2)[k] for k in range(2 + deleted))) if m > 1 else float(x * high < 2 + deleted)
-                slack = min(slack, m * (1 - few) - 1.5 * np.sqrt(m * few * (1 - few)) - least)
-            mean = max(high / m - deleted, 0.1)
-            chance = np.exp(-mean) * (mean * share) ** 2 / 2 if m > 1 else share ** mean
-            cost = m * (1 + deleted * high / m) * (1 + others * chance) * (1 if slack >= 0 else 4)
-            best = min(best, (cost, -slack, m)) if slack >= 0 or best[0] == np.inf or -best[1] < 0 else best
-        return best[0], best[2]
-
-    exact, halved = plan(0), plan(1)
-    return (halved[1], True) if halved[0] < exact[0] else (exact[1], False)
+    need = int(2 * differ * high + 1e-9) + 1
+    cases = [(x * high, int(2 * differ * x * high + 1e-9) + 1) for x in (threshold, (1 + threshold) / 2, 1.0)]
+    for x in (threshold**2, threshold * (1 + threshold) / 2, threshold):  # those of the band below
+        cases.append((x * high, int(differ * (x * high + min(high, x * high / threshold)) + 1e-9) + 1))
+    best = (np.inf, np.inf, need, 0)
+    for m in sorted({*np.linspace(max(1, need // 2), 3 * need + 4, 120).astype(int).tolist(), need}):
+        d, lacks, shares = max(0, need - m), 0.0, []
+        for size, least in cases:
+            mean = size / m
+            zero = np.exp(-mean)
+            two, three = (1 - zero * (1 + mean), 1 - zero * (1 + mean + mean * mean / 2)) if m > 1 else (float(size >= 2), float(size >= 3))
+            for _ in range(3):  # the margin depends on d, and d on the margin
+                margin = 1.5 * np.sqrt(m * two * (1 - two) + d * three * (1 - three))
+                lack = least + margin - m * two
+                d = min(m, max(d, int(np.ceil(lack / max(three, 1e-9)))))
+            lacks = max(lacks, lack - d * three)
+            chance = zero * (mean * share) ** 2 / 2 if m > 1 else share**mean
+            shares.append((two, mean - zero * (mean + mean * mean) if m > 1 else size, 1 + others * chance))
+        cost = sum((m * two + d * rest) * meet for two, rest, meet in shares) * (1 if lacks <= 1e-9 else 4)
+        if m + d >= need:
+            best = min(best, (cost, lacks, m, d))
+    return best[2], best[3]
 
 
 def _salt(space: np.ndarray, seed: int, seg: np.ndarray) -> np.ndarray:
@@ -159,13 +167,13 @@ def signatures(v: np.ndarray, at: np.ndarray, spaces: Spaces, heavy: np.ndarray)
             owner, which = of[starts], seg[starts]
             each = K.mix(x * K._A + K._B)
             total, salt = np.add.reduceat(each, starts), _salt(space[owner], seed, which)
-            deleted = spaces.deletions[space]
-            useful = np.bincount(owner[tokens >= 2 + deleted[owner]], minlength=len(left))
+            varied = which.astype(np.int64) >= (spaces.segments[space] - spaces.varied[space])[owner]
+            useful = np.bincount(owner, (tokens >= 2).astype(np.int64) + (varied & (tokens >= 3)), minlength=len(left))
             short = useful < spaces.needed(size[left], space, up)
             all_of = short & last  # the last resort
             keep = (tokens >= 2) | all_of[owner]
             found.append((K.mix(total[keep] + salt[keep]), left[owner[keep]].astype(np.int32), np.full(int(keep.sum()), 1 - up, np.int8)))
-            vary = deleted[owner] & ((tokens >= 3) | all_of[owner])
+            vary = varied & ((tokens >= 3) | all_of[owner])
             if vary.any():  # each such segment without each of its tokens
                 t = np.repeat(np.arange(len(starts)), tokens)
                 mine = vary[t]
@@ -270,7 +278,7 @@ def _distinct_lists(starts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
 def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy_least: int, emit, kinds: str) -> DataFrame:
     """What `emit(pairs)` makes, in each task, of the verified pairs (a, b, similarity) of representatives."""
     spark = base.sparkSession
-    parts = partitions(spark)
+    parts = 2 * partitions(spark)  # a task sorts some thousand signatures for each of its documents
     spaces = Spaces(threshold)
     shared = spark.sparkContext.broadcast(heavy_slots(found, heavy_least))  # a megabyte, whatever the data
     sent = pa.schema([("part", pa.int32()), ("payload", pa.binary()), ("ids", pa.binary())])
@@ -279,7 +287,7 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
     low = np.uint64((1 << (64 - min(62, 36 + int(parts).bit_length()))) - 1)
 
     def sign(batches):
-        for b in K.batches_by_bytes(batches, "text", 4 << 20):  # a signature takes several times the bytes it is sent as
+        for b in K.batches_by_bytes(batches, "text", 2 << 20):  # a signature takes several times the bytes it is sent as
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             v, at = token_sets(b.column("text"), n)
             some = np.flatnonzero(np.diff(at))
@@ -374,7 +382,7 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
 
     labels = merged.where("part = 1").select("doc_id", "payload").mapInArrow(label, "doc_id long, label long").groupBy("doc_id").agg(F.min("label").alias("label"))
     keyed = merged.where("part = 0").select("doc_id", "payload").join(labels, "doc_id")
-    spread = 4 * parts  # a task holds the sets of all that its lists name, several times the texts as sent
+    spread = 2 * parts  # a task holds the sets of all that its lists name, several times the texts as sent
     work = table(keyed.select(F.pmod(F.xxhash64("label"), F.lit(spread)).cast("int").alias("part"), "payload"), "jaccard-work")
     want = pa.schema([("part", pa.int32()), ("doc_id", pa.int64())])
 

@@ -88,22 +88,25 @@ def test_classes_against_all_pairs(spark):
     assert sorted(x for x in kept if x is not None) == sorted(set(least.values())) and None not in kept
 
 
-def test_no_pair_is_lost():
+@pytest.mark.parametrize("threshold", [0.9, 0.8, 0.75, 0.6])
+def test_no_pair_is_lost(threshold):
     """Signatures of random sets at the threshold, of many sizes: each pair shares one."""
-    rng, spaces = np.random.default_rng(4), jaccard_join.Spaces(0.8)
-    heavy = rng.random(1 << jaccard_join.SLOTS) < 0.3
+    rng, spaces = np.random.default_rng(4), jaccard_join.Spaces(threshold, 1 << 13)
+    heavy, checked = rng.random(1 << jaccard_join.SLOTS) < 0.3, 0
     for size in [*range(2, 40), 60, 100, 300, 1000]:
         for _ in range(6):
             a = rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2)
-            differ = int(2 * size / 9)
-            k = int(rng.integers(0, differ // 2 + 1))
-            b = np.append(a[k:], rng.integers(0, 2**63, k, dtype=np.uint64))
+            gone = int(size * (1 - threshold) / (1 + threshold)) if rng.random() < 0.5 else int(size * (1 - threshold))
+            new = int(rng.integers(0, gone + 1)) if gone < size * (1 - threshold) / (1 + threshold) + 1 else 0
+            b = np.append(a[gone:], rng.integers(0, 2**63, new, dtype=np.uint64))
             sets = [np.sort(a), np.sort(b)]
             same = len(np.intersect1d(*sets))
-            if same / (2 * size - same) < 0.8:
+            if not len(b) or same / (size + len(b) - same) < threshold:
                 continue
-            sig, doc, _ = jaccard_join.signatures(np.concatenate(sets), np.array([0, size, 2 * size]), spaces, heavy)
+            checked += 1
+            sig, doc, _ = jaccard_join.signatures(np.concatenate(sets), np.array([0, size, size + len(b)]), spaces, heavy)
             assert np.intersect1d(sig[doc == 0], sig[doc == 1]).size, size
+    assert checked > 100
 
 
 def test_no_pair_is_lost_at_the_default(spark):
