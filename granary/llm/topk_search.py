@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from granary.llm import kernels as K
 from granary.llm.common import batch_of, read, texts
 
-COMMON = 0.1  # share of the queries and of a block's documents from which on a term is accumulated in strips
+ROWS = 1024  # query rows that are scored at a time
+PRODUCTS = 1 << 22
+COMMON = 0.08  # share of the queries and of a block's documents from which on a term is accumulated in strips
 
 
 def _terms(vocabulary: np.ndarray, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,33 +80,32 @@ class Best:
         self.row, self.doc, self.score = (np.append(x[~mine], y[keep]) for x, y in ((self.row, q), (self.doc, d), (self.score, s)))
 
 
-def _accumulate(scores, lo, term, doc, w, query, times, first, dense):
-    """Adds a block's postings (term, doc, w), sorted by term, to the rows lo... of `scores`."""
-    hi = lo + len(scores)
+def _accumulate(scores, term, doc, w, q_term, query, times, dense):
+    """Adds a block's postings (term, doc, w) to a chunk of query rows with postings (q_term, query, times); both are sorted by term."""
+    n = scores.shape[1]
     r = K.runs(term)
-    tokens, begin, end = term[r[:-1]], r[:-1], r[1:]
-    strip = dense[tokens] & (end - begin > scores.shape[1] * COMMON)
+    tokens, begin, docs = term[r[:-1]], r[:-1], np.diff(r)
+    first = np.searchsorted(q_term, tokens)
+    rows = np.searchsorted(q_term, tokens, "right") - first
+    strip = dense[tokens] & (docs > n * COMMON) & (rows > 0)
     if strip.any():
-        t = tokens[strip]
-        left, right = np.zeros((len(scores), len(t))), np.zeros((len(t), scores.shape[1]))
-        for i, (x, a, z) in enumerate(zip(t.tolist(), begin[strip].tolist(), end[strip].tolist(), strict=True)):
-            right[i, doc[a:z]] = w[a:z]
-            q = query[first[x] : first[x + 1]]
-            mine = (q >= lo) & (q < hi)
-            left[q[mine] - lo, i] = times[first[x] : first[x + 1]][mine]
+        left, right = np.zeros((len(scores), int(strip.sum()))), np.zeros((int(strip.sum()), n))
+        for i, (a, m, f, k) in enumerate(zip(begin[strip].tolist(), docs[strip].tolist(), first[strip].tolist(), rows[strip].tolist(), strict=True)):
+            right[i, doc[a : a + m]] = w[a : a + m]
+            left[query[f : f + k], i] = times[f : f + k]
         scores += left @ right
-    for x, a, z in zip(tokens[~strip].tolist(), begin[~strip].tolist(), end[~strip].tolist(), strict=True):
-        q = query[first[x] : first[x + 1]]
-        i, j = np.searchsorted(q, lo), np.searchsorted(q, hi)
-        if i == j:
-            continue
-        f = times[first[x] : first[x + 1]][i:j]
-        if j - i <= z - a:
-            for row, c in zip((q[i:j] - lo).tolist(), f.tolist(), strict=True):
-                scores[row, doc[a:z]] += c * w[a:z]
-        else:
-            for d, v in zip(doc[a:z].tolist(), w[a:z].tolist(), strict=True):
-                scores[q[i:j] - lo, d] += f * v
+    rest = np.flatnonzero(~strip & (rows > 0))
+    begin, docs, first, rows = begin[rest], docs[rest], first[rest], rows[rest]
+    upto = np.append(0, np.cumsum(docs * rows))
+    flat = scores.reshape(-1)
+    i = 0
+    while i < len(rest):  # whole terms, some millions of products at a time
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PRODUCTS, "right")) - 1)
+        size = np.repeat(docs[i:j], rows[i:j])  # a query row's postings of one term, one after the other
+        row = np.repeat(first[i:j] - (np.cumsum(rows[i:j]) - rows[i:j]), rows[i:j]) + np.arange(int(rows[i:j].sum()))
+        at = np.repeat(np.repeat(begin[i:j], rows[i:j]) - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        flat += np.bincount(np.repeat(query[row] * n, size) + doc[at], np.repeat(times[row], size) * w[at], len(flat))
+        i = j
 
 
 def _search(base: DataFrame, rows: list, k: int, k1: float, b: float) -> DataFrame:
@@ -128,22 +129,24 @@ def _search(base: DataFrame, rows: list, k: int, k1: float, b: float) -> DataFra
     mean = words / n if words else 1.0
     df = np.array([found.get(i, (0, 0))[0] for i in range(len(vocabulary))], float)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
+    dense = np.bincount(term, minlength=len(vocabulary)) > len(ids) * COMMON
+    parts = []
+    for lo in range(0, len(ids), ROWS):
+        mine = (query >= lo) & (query < lo + ROWS)
+        parts.append((term[mine], query[mine] - lo, times[mine].astype(float)))
     out = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-    shared = base.sparkSession.sparkContext.broadcast((vocabulary, idf, query, times.astype(float), first, ids))  # bounded by the slice
+    shared = base.sparkSession.sparkContext.broadcast((vocabulary, idf, ids, dense, parts))  # bounded by the slice
 
     def run(batches):
-        vocabulary, idf, query, times, first, ids = shared.value
-        dense = np.diff(first) > len(ids) * COMMON
+        vocabulary, idf, ids, dense, parts = shared.value
         best = Best(len(ids), k)
         for part in K.batches_by_bytes(batches, "text", 4 << 20):
             t, d, tf, length = _terms(vocabulary, part.column("text"))
             names = part.column("doc_id").to_numpy(zero_copy_only=False)
             w = idf[t] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / mean))
-            rows_at_once = max(1, (32 << 20) // (8 * max(1, part.num_rows)))
-            for lo in range(0, len(ids), rows_at_once):
-                scores = np.zeros((min(rows_at_once, len(ids) - lo), part.num_rows))
-                _accumulate(scores, lo, t, d, w, query, times, first, dense)
+            for lo, own in zip(range(0, len(ids), ROWS), parts, strict=True):
+                scores = np.zeros((min(ROWS, len(ids) - lo), part.num_rows))
+                _accumulate(scores, t, d, w, *own, dense)
                 best.add(lo, scores, names)
         if len(best.row):
             yield batch_of(out, ids[best.row], best.doc, best.score)
