@@ -76,7 +76,8 @@ def analysis_documents(spark: SparkSession, path: str, most: int | None = None)
     fields = "text string, domain string"
     rows = [jsonl(spark, path, fields, "raise").select("file", "ord", "text", "domain"), _text_lines(spark, path).withColumn("domain", F.lit(None).cast("string"))]
     whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("value"))
-    items = F.coalesce(F.from_json("value", f"array<struct<{_typed(fields)}>>"), F.from_json("value", f"documents array<struct<{_typed(fields)}>>")["documents"])
+    is_list = F.regexp_like("value", F.lit(r"\A\s*\["))
+    items = F.when(is_list, F.from_json("value", f"array<struct<{_typed(fields)}>>")).otherwise(F.from_json("value", f"documents array<struct<{_typed(fields)}>>")["documents"])
     rows.append(whole.select("file", F.posexplode(items).alias("i", "d")).select("file", F.struct(F.lit(0).cast("long").alias("block"), F.col("i").cast("long").alias("row")).alias("ord"), "d.*"))
     out = reduce(DataFrame.unionByName, rows).where(T.word_count(F.col("text")) > 0).withColumn("domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), stem, F.lit("unknown")))
     return out if most is None else out.orderBy("file", "ord").limit(most)

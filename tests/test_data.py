@@ -81,7 +81,7 @@ def test_vocabulary_and_generated(spark, tmp_path):
     assert [tuple(r) for r in files.vocabulary(spark, str(tmp_path / "v.vocab")).orderBy("token_id").collect()] == [(0, "<pad>", 0.0), (1, "<unk>", 0.0), (2, '"', -1.5), (3, "▁ev", -2.0)]
     got = {r["doc_id"]: r["text"] for r in files.generated(spark, 25).collect()}
     assert len(got) == 25 and got[3] == files.PARAGRAPHS[3] and got[13].startswith(files.PARAGRAPHS[3] + " ")
-    assert files.combined(spark.range(2), spark.range(1).withColumn("x", F.lit(1))).where("x is null").count() == 2
+    assert files.combined(spark.range(2).select("id"), spark.range(1).select("id", F.lit(1).alias("x"))).where("x is null").count() == 2
 
 
 def test_check_paths(spark, tmp_path):
