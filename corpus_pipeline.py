@@ -3,6 +3,15 @@
 Every stage works on all documents that the one before kept and takes effect on them:
 rejected documents go, recurring lines are cut, one document of each near-duplicate
 group stays (the one of the least id), leaked documents go, the rest is packed.
+
+Defined results: documents whose text is null or has no word go in the first stage, and
+those that lose all their words in the second. Rows without an id pass the first two
+stages, stand for their text in the third (a row with an id goes before them), are judged
+like any other in the fourth, and get no place in the last, which names documents by id. Of
+rows that repeat an id, one is left after the third stage, with the greatest text. Ties
+go to the least id. An empty table, or empty labels or benchmark, give what the stages
+that need none of them make. All columns of documents pass through until the last stage,
+whatever their names; n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -42,7 +51,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: A fitted network, template trees and a latent space are beyond SQL; tests compare each stage with brute force.
+#: A fitted network, template trees and a latent space are beyond SQL; tests/llm compares each stage with plain Python on its own input.
 ORACLE_SQL = None
 
 
