@@ -359,3 +359,29 @@ def test_pipeline_stage_by_stage(spark):
             assert max(lcs(x, w) / len(x) for x in items) >= 0.5
     packed = stage["best-fit packing"](spark, spark.createDataFrame([(i, t) for i, t in clean.items()], "doc_id long, text string"), DIR).collect()
     check_packing(packed, {i: len([w for w in SPACE.split(t) if w]) for i, t in clean.items()}, 4096)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows and ids, texts of blanks, a very long one, clashing names; and empty tables."""
+    import corpus_pipeline
+
+    good = " ".join(f"plain{i} words in a row" for i in range(40))
+    rows = [(1, good), (1, good), (1, good + " more"), (2, None), (3, ""), (4, " \n\t"), (None, good + " too"), (None, None), (5, "x " * 60_000), (6, good.upper()), (7, "The same line.\n" * 3)]
+    docs = spark.createDataFrame([(i, t, None, None, None, 1, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, part int, class_id string")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table in (docs, docs.where("false")):
+        now = table
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, str(tmp_path))
+            if name != "best-fit packing":
+                assert now.columns == docs.columns
+            now.write.mode("overwrite").parquet(str(tmp_path / f"{name}-{table is docs}"))
+            now = spark.read.parquet(str(tmp_path / f"{name}-{table is docs}"))
+        if table is docs:
+            lengths = {}
+            for r in now.collect():
+                lengths[r["doc_id"]] = lengths.get(r["doc_id"], 0) + r["length"]
+            assert lengths == {1: len(good.split()) + 1, 5: 60_000, 7: 9}
+        else:
+            assert now.count() == 0
