@@ -100,11 +100,13 @@ class Spaces:
         return np.floor(self.differ * (size + other) + 1e-9).astype(np.int64) + 1
 
 
-def allocation(high: int, differ: float, threshold: float, share: float = 0.02, others: float = 1e4) -> tuple[int, int]:
+def allocation(high: int, differ: float, threshold: float, share: float = 0.02, others: float = 1e5) -> tuple[int, int]:
     """(segments, how many of them with neighbourhoods) at least cost.
 
     The cost of a signature is itself and the sets it meets by chance: of `others`, those
-    that have all its tokens, each with the chance `share`. Tokens of a segment are taken
+    that have all its tokens, each with the chance `share`. A meeting costs the look at a
+    text, many times a signature, and there are more sets the larger the data, so `others`
+    is high enough that more of them would not change the plan. Tokens of a segment are taken
     to be Poisson; the least, middle and greatest sets of the band and of the one below
     must weigh enough, with a margin of one and a half standard deviations.
     """
