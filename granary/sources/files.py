@@ -203,9 +203,9 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 PARAGRAPHS = [
-    "Toprak, yaşamın temelidir ve binlerce yıldır insanlara ekmek verir.", "Deniz kıyısındaki kasabada her sabah balıkçılar ağlarını toplar.", "Eski kitaplar, geçmişin sesini bugüne taşıyan sessiz tanıklardır.",
+    "Tarla, köyün temelidir ve binlerce yıldır insanlara ekmek verir.", "Deniz kıyısındaki kasabada her sabah balıkçılar ağlarını toplar.", "Eski kitaplar, geçmişin sesini bugüne taşıyan sessiz tanıklardır.",
     "Dağların ardında güneş batarken köy yavaş yavaş sessizliğe gömülür.", "Bilim insanları yeni bir yıldızın doğuşunu gözlemlemeyi başardı.", "Çarşıdaki küçük dükkânda her gün taze kahve kavrulur.",
-    "Öğrenciler okulun bahçesinde bahar şenliği için hazırlık yapıyor.", "Şehrin kalabalık sokaklarında müzik sesleri birbirine karışıyordu.", "Irmağın iki yakasını birleştiren köprü geçen yüzyılda yapıldı.", "Yağmur yağdığında toprak kokusu bütün ovayı sarar.",
+    "Öğrenciler okulun bahçesinde bahar şenliği için hazırlık yapıyor.", "Şehrin kalabalık sokaklarında müzik sesleri birbirine karışıyordu.", "Irmağın iki yakasını birleştiren köprü geçen yüzyılda yapıldı.", "Yağmur yağdığında çimen kokusu bütün ovayı sarar.",
 ]
 
 
