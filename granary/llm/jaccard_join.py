@@ -284,11 +284,14 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
     spaces = Spaces(threshold)
     shared = spark.sparkContext.broadcast(heavy_slots(found, heavy_least))  # a megabyte, whatever the data
     sent = pa.schema([("part", pa.int32()), ("payload", pa.binary()), ("ids", pa.binary())])
+    again = table(found.where("part < 0 and whole is not null").groupBy("whole").agg(F.count("*").alias("n")).where("n > 1").select(F.col("whole").alias("doc_id")), "jaccard-copied")
+    copied = _membership(again, again.count())  # only sets that others may have too need a name
 
     # as many bits as keep chance meetings in proportion to the data: a collision costs a look, never a pair
     low = np.uint64((1 << (64 - min(62, 36 + int(parts).bit_length()))) - 1)
 
     def sign(batches):
+        known: list[np.ndarray] = []
         for b in K.batches_by_bytes(batches, "text", 2 << 20):  # a signature takes several times the bytes it is sent as
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             v, at = token_sets(b.column("text"), n)
@@ -299,6 +302,9 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
             order = np.lexsort((ids[some], whole))  # the least id of the batch signs for all with the same set
             one = np.sort(order[K.runs(whole[order])[:-1]])
             ids, whole = ids[some[one]], whole[one]
+            bits = np.unpackbits(copied.value).view(bool) if not len(known) else known[0]
+            known[:] = [bits]
+            whole = np.where(bits[_slot(whole.view(np.int64), len(bits))], whole, np.uint64(0))
             sig, doc, larger = signatures(*_subset(v, at, some[one]), spaces, shared.value)
             sig &= ~low
             order = np.argsort(sig)
@@ -330,7 +336,8 @@ def _compared(base: DataFrame, found: DataFrame, n: int, threshold: float, heavy
         order = order[np.repeat(np.diff(r) > 1, np.diff(r))]
         sig, doc, name, larger = sig[order], doc[order], name[order], larger[order]
         rows = []
-        order = np.lexsort((doc, name))  # the least id stands for all with the same set: they share all signatures
+        order = np.flatnonzero(name)
+        order = order[np.lexsort((doc[order], name[order]))]  # the least id stands for all with the same set: they share all signatures
         r = K.runs(name[order])
         if len(order):
             doc[order] = np.repeat(doc[order][r[:-1]], np.diff(r))
