@@ -211,6 +211,31 @@ def test_quality_of_odd_rows(spark):
 # 7
 
 
+def test_search_reads_the_documents_as_often_for_many_slices(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common w{i} v{i % 3}") for i in range(60)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    whole, cut = (topk_search.top_k(docs.where("doc_id % 20 = 0"), docs, 5, "doc_id", slice_terms=s) for s in (1000, 1))
+    assert not any("/docs/" in f for f in cut.inputFiles())  # each slice reads postings
+    assert sorted(whole.collect()) == sorted(cut.collect())
+
+
+def test_search_bounds_hold(monkeypatch):
+    rng = np.random.default_rng(5)
+    for strip in (0.0, 0.02, 2.0):
+        monkeypatch.setattr(topk_search, "STRIP", strip)
+        a, b = ((rng.random((n, 300)) < np.linspace(0.005, 0.7, 300)) * rng.random((n, 300)) * 9 for n in (40, 70))
+        chunk, block = (topk_search.Postings(*np.nonzero(x.T), x.T[x.T > 0], len(x)) for x in (a, b))
+        both = topk_search.Shared(chunk, block)
+        assert (np.abs(both.rough() - a @ b.T) <= both.slack * (a @ b.T)).all()
+        best = topk_search.Best(np.full(40, topk_search.FLOOR), 6)
+        topk_search._meet(chunk, block, np.arange(70), best, np.zeros(300))
+        want = np.round(a @ b.T, 6)
+        for q in range(40):
+            order = np.lexsort((np.arange(70), -want[q]))[:6]
+            assert best.doc[best.row == q].tolist() == order[want[q][order] > 0].tolist()
+
+
 def test_search_ties_and_odd_rows(spark):
     rows = [(1, "a b c"), (2, "a b c"), (3, "a b c"), (3, "a b c"), (None, "a b c"), (4, None), (5, ""), (6, "z"), (20, "a b c")]
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id long, text string, score double")
