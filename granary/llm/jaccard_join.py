@@ -54,10 +54,13 @@ from pyspark.sql import functions as F
 
 from granary.llm import kernels as K
 from granary.llm.common import batch_of, by_part, pack, partitions, read, split_sorted, squeeze, texts, unpack, unsqueeze
+from granary.llm.topk_search import Postings, Shared
 from granary.plans.lineage import table
 
 SLOTS = 20
 SEEDS = 3
+HOT = 64  # documents of a part that hangs together from which on it is compared in blocks
+BLOCK = 1024
 ASK_BY_BROADCAST = 1_000_000  # rows (16 MB) up to which the ids asked for are broadcast; beyond, both sides are shuffled
 
 
@@ -471,29 +474,40 @@ def similar(docs: DataFrame, n: int = 2, threshold: float = 0.75, heavy_least: i
 FOUND = pa.schema([("doc_id", pa.int64()), ("other", pa.int64()), ("near", pa.binary())])
 
 
-def _as_lists(pairs):
-    """Of each node its packed neighbours, and of each part that hangs together the star of its least id."""
-    got = [(a, z) for a, z, _ in pairs]
-    if not got:
-        return
-    a, z = map(np.concatenate, zip(*got, strict=True))
-    top: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        up = top.setdefault(x, x)
-        while up != top[up]:
-            top[up] = up = top[top[up]]
-        top[x] = up
-        return up
-
-    for x, y in zip(a.tolist(), z.tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            top[max(x, y)] = min(x, y)
-    star = [(x, root(x)) for x in list(top)]
-    star = [(r, x) for x, r in star if r != x]
-    yield batch_of(FOUND, *zip(*star, strict=True), [None] * len(star))
+def _least(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Of each of the nodes 0..n-1 the least that can be reached over edges (x, y)."""
+    top = np.arange(n)
+    while True:
+        least = np.minimum(top[x], top[y])
+        after = top.copy()
+        for end in (x, y, top[x], top[y]):  # the old tops too, so that whole parts move
+            np.minimum.at(after, end, least)
+        after = after[after]
+        if (after == top).all():
+            return top
+        top = after
+
+
+def _as_lists(pairs, most: int = 1 << 21):
+    """Packed neighbours of each node, and the star of the least id of each part that hangs together; both of some million pairs at a time."""
+    held, size = [], 0
+    for a, z, _ in pairs:
+        held.append((a, z))
+        size += len(a)
+        if size >= most:
+            yield from _lists_of(held)
+            held, size = [], 0
+    if held:
+        yield from _lists_of(held)
+
+
+def _lists_of(held: list):
+    a, z = map(np.concatenate, zip(*held, strict=True))
     own, near = np.append(a, z), np.append(z, a)
+    ids, at = np.unique(own, return_inverse=True)
+    top = _least(at[: len(a)], at[len(a) :], len(ids))
+    leaf = np.flatnonzero(top != np.arange(len(ids)))
+    yield batch_of(FOUND, ids[top[leaf]], ids[leaf], [None] * len(leaf))
     order = np.lexsort((near, own))
     own, near = own[order], near[order]
     r = K.runs(own)
@@ -569,8 +583,36 @@ def _unpack_lists(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return unsqueeze(raw[8 : 8 + 8 * n], np.int64), unsqueeze(raw[8 + 8 * n :], np.int64)
 
 
+def _in_blocks(who: np.ndarray, token: np.ndarray, at: np.ndarray, threshold: float):
+    """(a, b, similarity) of all pairs of the documents `who`, in order, with the tokens token[at[i]:at[i + 1]], that reach the threshold: common tokens are counted by a product of blocks."""
+    length = np.diff(at)
+    blocks = []
+    for lo in range(0, len(who), BLOCK):
+        n = min(BLOCK, len(who) - lo)
+        t, row = token[at[lo] : at[lo + n]], np.repeat(np.arange(n), length[lo : lo + n])
+        order = np.argsort(t, kind="stable")
+        blocks.append((lo, Postings(t[order], row[order], np.ones(len(t)), n)))
+    for i, (x, left) in enumerate(blocks):
+        for y, right in blocks[i:]:
+            both = Shared(left, right).rough()  # whole numbers below 2**24: exact
+            total = length[x : x + left.n, None] + length[None, y : y + right.n]
+            p, q = np.nonzero(both >= threshold / (1 + threshold) * total - 1e-3)
+            if x == y:
+                p, q = p[p < q], q[p < q]
+            s = both[p, q].astype(float)
+            s /= total[p, q] - s
+            good = s >= threshold - 1e-12
+            if good.any():
+                yield who[x + p[good]], who[y + q[good]], np.round(s[good], 6)
+
+
 def verified(ids: list[int], sets: list[np.ndarray], size: np.ndarray, doc: np.ndarray, threshold: float):
-    """(a, b, similarity) arrays of the candidates that reach the threshold."""
+    """(a, b, similarity) arrays of the candidates that reach the threshold.
+
+    Large parts that hang together are compared as a whole, by products of blocks, if their
+    lists name a fair share of the pairs; what the lists don't name cannot reach the threshold
+    unless ids are repeated, and parts with such ids are left to the lists.
+    """
     ids = np.array(ids, np.int64)
     order = np.argsort(ids, kind="stable")
     ids, sets = ids[order], [sets[i] for i in order]
@@ -579,6 +621,20 @@ def verified(ids: list[int], sets: list[np.ndarray], size: np.ndarray, doc: np.n
         return
     universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.append(0, np.cumsum(length))
+    named, node = np.unique(doc, return_inverse=True)
+    first = np.cumsum(size) - size
+    top = _least(np.repeat(node[first], size), node, len(named))
+    r = np.searchsorted(ids, named)
+    once = (r < len(ids)) & (np.searchsorted(ids, named, "right") - r == 1)
+    docs = np.bincount(top, minlength=len(named))
+    pairs = np.bincount(top[node[first]], size.astype(float) ** 2, len(named))
+    hot = (docs >= HOT) & (pairs >= docs.astype(float) ** 2 / 4) & (np.bincount(top, ~once, len(named)) == 0)
+    for t in np.flatnonzero(hot).tolist():
+        k = r[top == t]
+        of = np.concatenate([flat[at[i] : at[i + 1]] for i in k])
+        yield from _in_blocks(ids[k], of, np.append(0, np.cumsum(length[k])), threshold)
+    rest = ~hot[top[node[first]]]
+    size, doc = size[rest], doc[np.repeat(rest, size)]
     mark = np.zeros(len(universe), bool)
     begin = np.append(0, np.cumsum(size))
     of = np.repeat(np.arange(len(size)), size)

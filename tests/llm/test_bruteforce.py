@@ -246,6 +246,44 @@ def test_search_ties_and_odd_rows(spark):
     assert both[0] == both[1]
 
 
+# 8
+
+
+def test_hot_groups_are_compared_in_blocks():
+    rng = np.random.default_rng(8)
+    base, c = rng.integers(0, 2**63, 300, dtype=np.uint64), 1100
+    sets = [np.unique(np.append(base[rng.random(300) > rng.random() * 0.3], rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64))) for _ in range(c)]
+    ids = rng.permutation(3 * c)[:c]
+    for again in (0, 1):  # an id of two rows is left to the lists
+        all_ids, all_sets = [*ids.tolist(), *ids[:again].tolist()], sets + [base] * again
+        found = list(jaccard_join.verified(all_ids, all_sets, np.array([c]), np.sort(ids), 0.75))
+        got = {(a, b): s for x, y, z in found for a, b, s in zip(x.tolist(), y.tolist(), z.tolist(), strict=True)}
+        assert (len(found) <= 3) == (again == 0)
+        universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(x) for x in sets])
+        x = np.zeros((c, len(universe)), np.float32)
+        x[np.repeat(np.arange(c), size), flat] = 1
+        both = (x @ x.T).astype(float)
+        near = both / (size[:, None] + size - both)
+        p, q = np.nonzero((near >= 0.75) & (ids[:, None] < ids))
+        want = {(int(ids[i]), int(ids[j])): round(float(near[i, j]), 6) for i, j in zip(p, q, strict=True)}
+        odd = int(ids[0]) if again else None
+        assert {k: v for k, v in got.items() if odd not in k} == {k: v for k, v in want.items() if odd not in k}
+    whole, cut = (list(jaccard_join._as_lists(iter(found), most)) for most in (1 << 40, 1000))
+    assert len(cut) > len(whole)
+    for batches in (whole, cut):
+        star = [(r["doc_id"], r["other"]) for b in batches for r in b.to_pylist() if r["other"] is not None]
+        assert {b for _, b in star} | {min(a for a, _ in star)} == {x for k in got for x in k}
+
+
+def test_least_of_chains():
+    rng = np.random.default_rng(2)
+    for n in (2, 50, 3000):
+        order = rng.permutation(n)
+        assert (jaccard_join._least(order[:-1], order[1:], n) == 0).all()
+    assert jaccard_join._least(np.array([1, 3]), np.array([2, 4]), 6).tolist() == [0, 1, 1, 3, 3, 5]
+
+
 # 9
 
 
