@@ -1,5 +1,6 @@
 """Operators that SQL can't express, held against plain Python that looks at everything, or against held-out truth."""
 
+import pickle
 import re
 from collections import Counter
 
@@ -236,6 +237,65 @@ def test_search_bounds_hold(monkeypatch):
             assert best.doc[best.row == q].tolist() == order[want[q][order] > 0].tolist()
 
 
+def products(rng, n, terms=300):
+    """Rows of weights, many of them alike, as `Postings` and as a matrix."""
+    x = (rng.random((n, terms)) < np.linspace(0.05, 0.7, terms)) * rng.random((n, terms)) * 9
+    x[n // 2 :: 3] = x[n // 2]
+    return topk_search.Postings(*np.nonzero(x.T), x.T[x.T > 0], n), x
+
+
+def test_search_postings_arrive_with_plain_types():
+    there = pickle.loads(pickle.dumps(products(np.random.default_rng(1), 30)[0]))
+    assert there.single.dtype is np.dtype(np.float32)  # else np.add.at takes its slow way
+
+
+def test_search_scores_few_pairs_of_a_block_above_a_low_floor(monkeypatch):
+    rng, scored, plain = np.random.default_rng(6), [], topk_search._scores
+    (chunk, a), (block, b) = products(rng, 40), products(rng, 700)
+    monkeypatch.setattr(topk_search, "_scores", lambda *x: scored.append(len(x[2])) or plain(*x))
+    best = topk_search.Best(np.full(40, 1.0), 6)  # as other blocks left it
+    topk_search._meet(chunk, block, np.arange(700), best, np.zeros(300))
+    assert (a @ b.T > 1).all() and sum(scored) < 0.5 * 40 * 700  # a third of the block may tie
+
+
+def test_search_pairs_that_wait(monkeypatch):
+    """Blocks with ties across them, settled at the end, or as soon as any wait: the k best by exact scores, and the same bits from either side."""
+    rng = np.random.default_rng(7)
+    chunks, blocks = [products(rng, n) for n in (40, 9)], [products(rng, n) for n in (70, 5, 300, 80)]
+    a, b = (np.concatenate([x for _, x in y]) for y in (chunks, blocks))
+    want, ids = np.round(a @ b.T, 6), rng.permutation(455)
+    for most in (8, 0):
+        monkeypatch.setattr(topk_search, "WAITING", most)
+        queries, held, names, dense, first, settled = topk_search.Rows(), topk_search.Rows(), [], np.zeros(300), 0, 0
+        waiting = [(queries.add(c), topk_search.Waiting(topk_search.Best(np.full(c.n, topk_search.FLOOR), 6))) for c, _ in chunks]
+        for block, _ in blocks:
+            at, full = held.add(block), False
+            names.append(ids[first : first + block.n])
+            first += block.n
+            for (c, _), (_, mine) in zip(chunks, waiting, strict=True):
+                q, d, rough, slack = topk_search._likely(c, block, mine.best)
+                full |= mine.add(q, d + at, rough * (1 - slack), rough / (1 - slack))
+            if full:
+                topk_search._settle(waiting, queries, held, names, dense)
+                held, names, settled = topk_search.Rows(), [], settled + 1
+        assert (settled > 1) == (most == 0)
+        if names:
+            topk_search._settle(waiting, queries, held, names, dense)
+        for lo, mine in waiting:
+            for q in range(len(mine.best.floor)):
+                order = np.lexsort((ids, -want[lo + q]))[:6]
+                assert mine.best.doc[mine.best.row == q].tolist() == ids[order].tolist()
+    (chunk, _), (block, _), got = chunks[0], blocks[2], []
+    for x, y in ((chunk, block), (block, chunk)):
+        p, q = np.indices((40, 300)).reshape(2, -1)
+        p, q = (p, q) if x is chunk else (q, p)
+        got.append(topk_search._scores(x, y, p, q, dense))
+    for spread in (0, 1 << 40):
+        monkeypatch.setattr(topk_search, "SPREAD", spread)
+        got.append(topk_search._scores(chunk, block, *np.indices((40, 300)).reshape(2, -1), dense))
+    assert all((x == got[0]).all() for x in got) and not dense.any()
+
+
 def test_search_ties_and_odd_rows(spark):
     rows = [(1, "a b c"), (2, "a b c"), (3, "a b c"), (3, "a b c"), (None, "a b c"), (4, None), (5, ""), (6, "z"), (20, "a b c")]
     docs = spark.createDataFrame([(i, t, 0.0) for i, t in rows], "doc_id long, text string, score double")
