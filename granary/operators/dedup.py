@@ -40,7 +40,9 @@ def hashed(docs: DataFrame, key: str = "doc_id", text: str = "text", kind: str =
 def near_pairs(reps: DataFrame, distance: int = 3) -> DataFrame:
     """(x, y), x < y, of the different values of `simhash` within the distance.
 
-    A hash that a third of the rows share is one value here and meets others once.
+    A hash that a third of the rows share is one value here and meets others once. Both
+    sides are shuffled: their size is told from before the rows of the indexes are made, so
+    a plan of its own choice would gather 20 rows a hash on the driver to broadcast them.
     """
     if not 0 <= distance <= 3:
         raise ValueError("distance must be 0 to 3")
@@ -49,7 +51,7 @@ def near_pairs(reps: DataFrame, distance: int = 3) -> DataFrame:
     wide = nodes.select("simhash", F.explode(keys).alias("k")).select("simhash", "k.band", "k.slot")
     left, right = wide.alias("l"), wide.alias("r")
     apart = F.bit_count(F.col("l.simhash").bitwiseXOR(F.col("r.simhash")))
-    met = left.join(right, (F.col("l.band") == F.col("r.band")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.simhash") < F.col("r.simhash")) & (apart <= distance))
+    met = left.join(right.hint("merge"), (F.col("l.band") == F.col("r.band")) & (F.col("l.slot") == F.col("r.slot")) & (F.col("l.simhash") < F.col("r.simhash")) & (apart <= distance))
     return met.select(F.col("l.simhash").alias("x"), F.col("r.simhash").alias("y")).distinct()
 
 
