@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-FEATURES = 4096
+FEATURES = 4096  # hashed at a time
 _ONES = (1 << 64) - 1
 
 
@@ -24,21 +24,25 @@ def _digests(features: list[str], kind: str) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, 8)
 
 
-def simhash_of(tokens: str | None, kind: str = "blake2b", most: int = FEATURES) -> int | None:
+def simhash_of(tokens: str | None, kind: str = "blake2b", most: int | None = None) -> int | None:
     """Signed 64-bit SimHash of tokens joined by spaces; a bit whose votes tie is set, so no tokens give all ones."""
     if tokens is None:
         return None
-    words = tokens.split(" ", most + 2)[: most + 2] if tokens else []
-    features = words[:most] if len(words) < 3 else [" ".join(words[i : i + 3]) for i in range(min(len(words) - 2, most))]
-    if not features:
+    words = tokens.split(" ") if tokens else []
+    size = 3 if len(words) >= 3 else 1
+    n = max(0, len(words) - size + 1)
+    n = n if most is None else min(n, most)
+    if not n:
         return -1
-    bits = np.unpackbits(_digests(features, kind), axis=1)  # the highest bit first
-    up = 2 * bits.sum(0, dtype=np.int64) >= len(features)
-    return int(np.packbits(up).view(">u8")[0].astype(np.int64))
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, n, FEATURES):
+        features = [" ".join(words[i : i + size]) for i in range(lo, min(lo + FEATURES, n))]
+        votes += np.unpackbits(_digests(features, kind), axis=1).sum(0, dtype=np.int64)  # the highest bit first
+    return int(np.packbits(2 * votes >= n).view(">u8")[0].astype(np.int64))
 
 
-def simhash64(tokens: Column, kind: str = "blake2b", most: int = FEATURES) -> Column:
-    """Votes of the first `most` shingles of three tokens (single tokens where there are fewer)."""
+def simhash64(tokens: Column, kind: str = "blake2b", most: int | None = None) -> Column:
+    """Votes of all shingles of three tokens (single tokens where there are fewer), or of the first `most`."""
 
     @pandas_udf("long")
     def run(series: pd.Series) -> pd.Series:

@@ -89,8 +89,9 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 12], ' ') AS g FROM (SEL
 bg AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 12], ' ') AS g FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM b)),
 hit AS (SELECT doc_id, item_id, count(*) AS hits FROM dg JOIN bg USING (g) GROUP BY ALL HAVING count(*) >= 2)"""
 
-_SIMHASH = f"""tok AS (SELECT doc_id, {_tokens("text")} AS ws FROM documents),
-feat AS (SELECT doc_id, unnest((CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END)[1:4096]) AS f FROM tok),
+def _simhash(cut: str = "") -> str:
+    return f"""tok AS (SELECT doc_id, {_tokens("text")} AS ws FROM documents),
+feat AS (SELECT doc_id, unnest((CASE WHEN len(ws) < 3 THEN ws ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END){cut}) AS f FROM tok),
 vote AS (SELECT doc_id, concat('0x', substr(md5(f), 1, 16))::UBIGINT AS v FROM feat),
 bits AS (SELECT doc_id, k, CASE WHEN sum(((v >> k) & 1)::INTEGER) * 2 >= count(*) THEN 1::UBIGINT << k ELSE 0::UBIGINT END AS b FROM vote, (SELECT unnest(range(64))::UBIGINT AS k) GROUP BY doc_id, k),
 sim AS (SELECT doc_id, coalesce(x, 18446744073709551615::UBIGINT) AS x FROM documents LEFT JOIN (SELECT doc_id, sum(b)::UBIGINT AS x FROM bits GROUP BY 1) USING (doc_id))"""
@@ -168,8 +169,8 @@ ORACLES = {
     "norm_hash": f"SELECT doc_id, sha256({_norm('text')}) AS content_sha256 FROM documents",
     "exact_dedup": f"SELECT sha256({_norm('text')}) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "exact_dup_groups": f"SELECT sha256({_norm('text')}) AS content_sha256, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "simhash_md5": f"WITH {_SIMHASH} SELECT doc_id, {_hex('x')} AS simhash64 FROM sim",
-    "simhash_md5_pairs": f"WITH {_SIMHASH}, u AS (SELECT DISTINCT x, {_hex('x')} AS h, (CASE WHEN x >= 9223372036854775808::UBIGINT THEN x::HUGEINT - 18446744073709551616::HUGEINT ELSE x::HUGEINT END) AS o FROM sim) SELECT a.h AS a, b.h AS b FROM u AS a JOIN u AS b ON a.o < b.o WHERE bit_count(xor(a.x, b.x)) <= 3",
+    "simhash_md5": f"WITH {_simhash('[1:4096]')} SELECT doc_id, {_hex('x')} AS simhash64 FROM sim",
+    "simhash_md5_pairs": f"WITH {_simhash()}, u AS (SELECT DISTINCT x, {_hex('x')} AS h, (CASE WHEN x >= 9223372036854775808::UBIGINT THEN x::HUGEINT - 18446744073709551616::HUGEINT ELSE x::HUGEINT END) AS o FROM sim) SELECT a.h AS a, b.h AS b FROM u AS a JOIN u AS b ON a.o < b.o WHERE bit_count(xor(a.x, b.x)) <= 3",
     "quality_signals": _quality("(SELECT doc_id, coalesce(text, '') AS text FROM documents)"),
     "quality_vs_label": f"SELECT l.quality, l.toxic, q.quality_score >= 0.5 AND coalesce(alpha_ratio >= 0.5 AND unique_word_ratio >= 0.1 AND average_word_length BETWEEN 2 AND 25, false) AS good, count(*) AS docs FROM ({_quality('(SELECT doc_id, text FROM documents)')}) AS q JOIN labels AS l USING (doc_id) GROUP BY ALL",
     "quality_by_source": f"SELECT source, round(avg(quality_score), 3) AS quality_score, round(avg(alpha_ratio), 3) AS alpha_ratio, round(avg(unique_word_ratio), 3) AS unique_word_ratio, round(avg(average_word_length), 3) AS average_word_length, round(avg(short_line_ratio), 3) AS short_line_ratio FROM ({_quality('(SELECT doc_id, source, text FROM documents)')}) GROUP BY source",
