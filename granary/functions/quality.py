@@ -18,6 +18,11 @@ def _clamp(c: Column, high: float = 1.0) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(high), c))
 
 
+def _rounded(c: Column) -> Column:
+    """To 4 places, half up of the scaled number; so a share just below a half of the last place counts as one if ten thousand times it does."""
+    return F.round(c * 10_000.0) / 10_000.0
+
+
 def with_quality(df: DataFrame, text: str = "text") -> DataFrame:
     """`df` with word_count, the four signals and quality_score, all rounded to 4 places.
 
@@ -37,8 +42,8 @@ def with_quality(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumns({f"__{k}": F.when(n > 0, x) for k, x in zip(SIGNALS, raw, strict=True)})
     a, u, m, s = (F.col(f"__{k}") for k in SIGNALS)
     score = 0.4 * _clamp((a - 0.35) / 0.4) + 0.3 * F.least(u / 0.5, F.lit(1.0)) + 0.2 * F.greatest(F.lit(0.0), 1 - F.abs(m - 6) / 12) + 0.1 * (1 - s)
-    out = df.withColumn("quality_score", F.when(n > 0, F.round(score, 4)).otherwise(F.lit(0.0)))
-    return out.withColumns({k: F.round(F.col(f"__{k}"), 4) for k in SIGNALS}).drop(*(f"__{k}" for k in SIGNALS))
+    out = df.withColumn("quality_score", F.when(n > 0, _rounded(score)).otherwise(F.lit(0.0)))
+    return out.withColumns({k: _rounded(F.col(f"__{k}")) for k in SIGNALS}).drop(*(f"__{k}" for k in SIGNALS))
 
 
 def is_good(threshold: float = 0.5) -> Column:
