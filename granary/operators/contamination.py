@@ -17,6 +17,7 @@ from granary.functions import text as T
 from granary.functions.hashing import Rolling, slices
 
 MOST_BITS = 28  # 32 MB
+SLICE = 1 << 20  # bytes of text at a time; the hashes take some seventy times as many
 
 
 def record_grams(records: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -31,7 +32,7 @@ def _bit_set(records: DataFrame, text: str, n: int):
 
     def run(batches):
         roll = Rolling(n)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", SLICE):
             x = np.unique(roll.grams(b.column("t"))[0] & np.uint64(bits - 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["slots"])
 
@@ -49,7 +50,7 @@ def document_grams(docs: DataFrame, key: str, text: str, records: DataFrame, rec
 
     def run(batches):
         roll, slots = Rolling(n), np.uint64((1 << MOST_BITS) - 1)
-        for b in slices(batches, "t"):
+        for b in slices(batches, "t", SLICE):
             h, row, s, e, raw = roll.grams(b.column("t"))
             slot = (h & slots).astype(np.int64)
             hit = np.flatnonzero((shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
