@@ -102,7 +102,7 @@ def corpus_stats(rows: DataFrame) -> DataFrame:
     """
     facts = rows.select(
         "domain", T.lexical_words(F.col("text")).alias("w"), T.solid_length(F.col("text")).alias("c"), F.octet_length("text").alias("b"), F.size("ids").alias("t"), F.col("unknown").alias("u"),
-        F.size(F.filter("pieces", T.is_byte_piece)).alias("y"), F.col("exact").cast("int").alias("e"),
+        F.size(F.filter("pieces", lambda p: p.startswith("<0x") & T.is_byte_piece(p))).alias("y"), F.col("exact").cast("int").alias("e"),
     )
     s = {k: F.coalesce(F.sum(k), F.lit(0)) for k in "wcbtuye"}
     n = F.count("*")
